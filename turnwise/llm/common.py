@@ -67,3 +67,10 @@ def space_words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's default rows of an Arrow batch: texts can be very long, and a worker holds a batch whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
