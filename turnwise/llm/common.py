@@ -74,3 +74,22 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, rows)
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the documents whose doc_id is in ``rejected``; rows without a doc_id can't be named and stay."""
+    gone = cut(rejected.where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(bounded_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, read again, and its path."""
+    path = scratch_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a table that :func:`written` made, through Hadoop's file systems."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

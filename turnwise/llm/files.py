@@ -23,7 +23,7 @@ class Pending:
         self.fs, path = store(folder)
         self.fs.create_dir(path, recursive=True)
         self.temporary, self.final = f"{path}/_{name}.{uuid.uuid4().hex}.tmp", f"{path}/{name}"
-        self.out = self.fs.open_output_stream(self.temporary)
+        self.out = self.fs.open_output_stream(self.temporary, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:

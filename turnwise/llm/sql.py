@@ -1,5 +1,7 @@
 """DuckDB SQL for the operator queries that SQL can express. Written from the contracts, not from the Spark plans."""
 
+from turnwise.llm.license_scan import CUES, LEAST_COSINE, TEMPLATES
+
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP1_CTES = r"""
@@ -82,3 +84,40 @@ rules(h, f, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'al
 m AS (SELECT r, h || f AS rule, v, row_number() OVER (PARTITION BY r ORDER BY length(h || f) DESC, length(h) DESC) AS k
       FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (r)""" % {"UP": UP, "LOW": LOW}
+
+OP6 = r"""WITH
+p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS last FROM q WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, q.payload_digest, CASE WHEN page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM q LEFT JOIN m ON q.payload_digest = m.payload_digest AND payload_bytes >= 1000"""
+
+_VALUES = ", ".join("('%s', '%s', '%s')" % (name, f"{name}/{k}", text) for name, texts in TEMPLATES.items() for k, text in enumerate(texts))
+
+OP8 = rf"""WITH
+t0(license, template, line) AS (VALUES {_VALUES}),
+t AS (SELECT license, template, term, count(*) AS tf FROM (SELECT license, template, unnest(regexp_split_to_array(lower(line), '[^0-9a-z]+')) AS term FROM t0) WHERE term <> '' GROUP BY ALL),
+f AS (SELECT doc_id, text, CASE WHEN doc_id % 1000 = 0 THEN (doc_id // 1000) || '/LICENSE'
+        WHEN doc_id % 100 = 0 THEN (doc_id // 1000) || '/' || (doc_id // 100) || '/LICENSE'
+        ELSE (doc_id // 1000) || '/' || (doc_id // 100) || '/' || doc_id || '.txt' END AS path FROM documents),
+l AS (SELECT doc_id, k, ls[k] AS body FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM f))
+      WHERE regexp_matches(ls[k], '{CUES}')),
+n AS (SELECT count(*) AS total FROM l),
+v AS (SELECT doc_id, k, term, count(*) AS n FROM (SELECT doc_id, k, unnest(regexp_split_to_array(lower(body), '[^0-9a-z]+')) AS term FROM l) WHERE term <> '' GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM v WHERE term IN (SELECT term FROM t) GROUP BY term),
+idf AS (SELECT DISTINCT term, ln((total + 1.0::DOUBLE) / (coalesce(df, 0) + 1.0::DOUBLE)) + 1 AS idf FROM t LEFT JOIN df USING (term), n),
+w AS (SELECT license, template, term, tf * idf AS w FROM t JOIN idf USING (term)),
+tn AS (SELECT template, sqrt(sum(w * w)) AS tn FROM w GROUP BY template),
+x AS (SELECT doc_id, k, term, n * coalesce(idf, ln(total + 1.0::DOUBLE) + 1) AS x, idf FROM v LEFT JOIN idf USING (term), n),
+xn AS (SELECT doc_id, k, sqrt(sum(x * x)) AS xn FROM x GROUP BY ALL),
+c AS (SELECT doc_id, k, license, round(sum(x * w) / (any_value(xn) * any_value(tn)), 6) AS cosine
+      FROM x JOIN w USING (term) JOIN xn USING (doc_id, k) JOIN tn USING (template) GROUP BY doc_id, k, license, template),
+b AS (SELECT doc_id, k, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY cosine DESC, license DESC) AS r FROM c) WHERE r = 1 AND cosine >= {LEAST_COSINE}),
+o AS (SELECT doc_id, count(*) AS n_lines, arg_max(license, (cosine, license)) AS own_license, max(cosine) AS cosine FROM b GROUP BY doc_id),
+fo AS (SELECT f.doc_id, path, own_license, cosine, coalesce(n_lines, 0)::BIGINT AS n_lines FROM f LEFT JOIN o USING (doc_id)),
+h AS (SELECT path, regexp_replace(path, '/LICENSE$', '') AS dir, own_license FROM fo WHERE ends_with(path, '/LICENSE') AND own_license IS NOT NULL),
+u AS (SELECT fo.doc_id, h.path AS hp, h.own_license AS ol, row_number() OVER (PARTITION BY fo.doc_id ORDER BY length(h.dir) DESC) AS r
+      FROM fo JOIN h ON starts_with(fo.path, h.dir || '/') WHERE fo.own_license IS NULL)
+SELECT fo.doc_id, path, own_license, cosine, n_lines, coalesce(own_license, ol) AS license, CASE WHEN own_license IS NULL THEN hp END AS from_path
+FROM fo LEFT JOIN (SELECT * FROM u WHERE r = 1) u USING (doc_id)"""
