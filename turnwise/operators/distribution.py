@@ -79,7 +79,7 @@ def mean_cosine(vectors: DataFrame, key: str, vec: str, include_diagonal: bool =
     out = j.groupBy(F.col(f"a.{key}").alias("left"), F.col(f"b.{key}").alias("right")).agg(F.sum(F.col("a.m") * F.col("b.m")).alias("c"), F.max("a.n").alias("n"))
     if not include_diagonal:
         out = out.withColumn("c", F.when(F.col("left") == F.col("right"), (F.col("c") * F.col("n") - 1) / (F.col("n") - 1)).otherwise(F.col("c")))
-    return out.select("left", "right", F.round("c", 4).alias("cosine"))
+    return out.select("left", "right", (F.round("c", 4) + 0.0).alias("cosine"))
 
 
 def welch_t(rows: DataFrame, value: Column) -> DataFrame:

@@ -92,7 +92,7 @@ def x10(spark, d):
 def ks(keys: str, src: str) -> str:
     k, part, g = (f"{keys}, ", f"PARTITION BY {keys}", f" GROUP BY {keys}") if keys else ("", "", "")
     return f""", kc AS (SELECT {k}x, count(*) FILTER (source = 'eval') AS a, count(*) FILTER (source = 'synth') AS b FROM {src} GROUP BY ALL),
-kg AS (SELECT {k}abs(sum(a) OVER (r) / nullif(sum(a) OVER (e), 0) - sum(b) OVER (r) / nullif(sum(b) OVER (e), 0)) AS gap FROM kc WINDOW e AS ({part}), r AS ({part} ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT {k}round(max(gap), 6) AS ks FROM kg{g}"""
+kg AS (SELECT {k}abs(sum(a) OVER r / nullif(sum(a) OVER e, 0) - sum(b) OVER r / nullif(sum(b) OVER e, 0)) AS gap FROM kc WINDOW e AS ({part}), r AS ({part} ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT {k}round(max(gap), 6) AS ks FROM kg{g}"""
 
 
 @query("X11_two_sample_ks", W("corpora", f", l AS (SELECT category, source, {WC} AS x FROM corpora)" + ks("", "l")))
@@ -150,7 +150,7 @@ def x16(spark, d):
     return c.select("from_flow", "to_flow", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("from_flow")), 6).alias("share"))
 
 
-@query("X17_embedding_similarity", "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL) SELECT a.label AS \"left\", b.label AS \"right\", round(sum(a.m * b.m), 4) AS cosine FROM m a JOIN m b ON a.i = b.i AND a.label <= b.label GROUP BY ALL")
+@query("X17_embedding_similarity", "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL) SELECT a.label AS \"left\", b.label AS \"right\", round(sum(a.m * b.m), 4) + 0.0 AS cosine FROM m a JOIN m b ON a.i = b.i AND a.label <= b.label GROUP BY ALL")
 def x17(spark, d):
     return D.mean_cosine(A.table(spark, d, "embeddings"), "label", "embedding")
 
@@ -247,7 +247,7 @@ def t2(spark, d):
     return n.select("convo_id", ((F.size("turns") == 3) & (F.transform("turns", lambda t: t["speaker"]) == F.array(F.lit("user"), F.lit("agent"), F.lit("user")))).alias("ok"))
 
 
-NAMES = ["the", "and", "idiot", "mit", "apache"]
+NAMES = ["the", "and", "idiot", "apache"]
 
 
 @query("T3_label_leak", "SELECT doc_id, " + " || ".join(f"CASE WHEN regexp_matches(text, '(?i)\\b{n}\\b') THEN '{n} ' ELSE '' END" for n in NAMES) + " AS leaked FROM documents")
