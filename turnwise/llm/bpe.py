@@ -2,7 +2,10 @@
 
 Byte-level BPE never merges across a space that follows a visible character, so
 a text falls into pieces that are encoded on their own; a worker keeps the ids of
-the pieces it met. The piece memory is bounded; a piece it lacks goes to the library.
+the pieces it met. A new piece that is plainly letters and ASCII punctuation falls
+further into the pre-tokenizer's parts, whose ids are kept as well; parts that are new
+go to the library's BPE model, all other new pieces to the whole tokenizer.
+Both memories are bounded and start afresh when full.
 """
 
 from __future__ import annotations
@@ -14,12 +17,18 @@ from array import array
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
+CACHE_PARTS = 400_000
 #: Longer pieces are encoded without being remembered.
 CACHED_CHARS = 48
 
-_ODD = re.compile(r"\s |\s\Z|\A ")
+_ODD = re.compile(r"\s ")
+_ODD_ASCII = [c + " " for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f"]
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: Letters, then ASCII punctuation other than an apostrophe; lines of that form joined by single line feeds.
+_PLAIN_LINE = r"[A-Za-zÀ-ÖØ-öø-ɏ]+[!-&(-/:-@\[-`{-~]*"
+_PLAIN = re.compile(rf"{_PLAIN_LINE}(?:\n{_PLAIN_LINE})*\Z")
+_PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|[!-&(-/:-@\[-`{-~]+|\n")
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,31 +40,65 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_characters() -> list[str]:
+    """The character that byte-level BPE writes for each byte: itself where it is printable, else the next free one from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
+def _little_endian(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. Special-token strings in a text are ordinary text."""
 
     def __init__(self, tokenizer: str = TOKENIZER):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(tokenizer))
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        before = self.tokenizer.pre_tokenizer
+        self.plain = isinstance(before, ByteLevel) and self.tokenizer.normalizer is None and before.use_regex and not before.add_prefix_space
+        if not self.plain:
+            raise ValueError("the tokenizer must be a byte-level one without normalizer and prefix space")
+        self.model = Tokenizer(self.tokenizer.model)
+        self.characters = byte_characters()
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = array("I", e.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            out.append(ids.tobytes())
+        return [_little_endian(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces, each after a space."""
+        parts = self.parts
+        split = {x: _PARTS.findall(" " + x) for x in pieces if _PLAIN.match(x)}
+        other = [x for x in pieces if x not in split]
+        lacking = list({y for ys in split.values() for y in ys if y not in parts})
+        if len(parts) + len(lacking) > CACHE_PARTS:
+            parts.clear()
+            lacking = list({y for ys in split.values() for y in ys})
+        if lacking:
+            of, space, line = self.characters.__getitem__, self.characters[32], self.characters[10]
+            written = [y.replace(" ", space).replace("\n", line) if y.isascii() else "".join(map(of, y.encode())) for y in lacking]
+            parts.update(zip(lacking, (_little_endian(e.ids) for e in self.model.encode_batch_fast(written, add_special_tokens=False)), strict=True))
+        out = {x: b"".join(map(parts.__getitem__, ys)) for x, ys in split.items()}
+        if other:
+            out.update(zip(other, self._library([" " + x for x in other]), strict=True))
         return out
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
+        if any(x in text for x in _ODD_ASCII) or not text.isascii() and _ODD.search(text):
             first, *rest = _CUT.split(text)
             rest = [x[1:] for x in rest]
         else:
@@ -63,9 +106,10 @@ class Encoder:
         known = self.pieces
         found = list(map(known.get, rest))
         if None in found:
-            lacking = list({x for x, y in zip(rest, found, strict=True) if y is None})
-            new = dict(zip(lacking, self._library([" " + x for x in lacking]), strict=True))
-            found = [new[x] if y is None else y for x, y in zip(rest, found, strict=True)]
+            at = [i for i, y in enumerate(found) if y is None]
+            new = self._new(list({rest[i] for i in at}))
+            for i in at:
+                found[i] = new[rest[i]]
             if len(known) + len(new) > CACHE_PIECES:
                 known.clear()
             known.update((x, y) for x, y in new.items() if len(x) <= CACHED_CHARS)
