@@ -53,7 +53,7 @@ def fleiss_kappa(votes: DataFrame, item: str, category: str) -> DataFrame:
     """One row, kappa: equal raters per item; 0 with one rater, 1 with unanimity in one category."""
     counts = votes.groupBy(item, category).agg(F.count(F.lit(1)).alias("c"))
     per_item = counts.groupBy(item).agg(F.sum("c").alias("r"), F.sum(F.col("c") * F.col("c")).alias("sq"))
-    agree = per_item.agg(F.count(F.lit(1)).alias("items"), F.max("r").alias("raters"), F.sum((F.col("sq") - F.col("r")) / (F.col("r") * (F.col("r") - 1))).alias("p"))
+    agree = per_item.agg(F.count(F.lit(1)).alias("items"), F.max("r").alias("raters"), F.sum((F.col("sq") - F.col("r")) / F.nullif(F.col("r") * (F.col("r") - 1), F.lit(0))).alias("p"))
     share = counts.groupBy(category).agg(F.sum("c").alias("c"))
     expected = share.agg(F.sum(F.col("c") * F.col("c")).alias("sq"), F.sum("c").alias("n")).select((F.col("sq") / (F.col("n") * F.col("n"))).alias("pe"))
     j = agree.crossJoin(F.broadcast(expected))  # one row each
@@ -69,5 +69,5 @@ def spearman(rows: DataFrame, x: str, y: str, keys: list[str] = []) -> DataFrame
         return counts.select(*keys, c, (F.sum("_n").over(w) - (F.col("_n") - 1) / 2).alias(f"_r{c}"))
 
     j = rows.select(*keys, x, y).join(ranked(x), [*keys, x]).join(ranked(y), [*keys, y])
-    rho = F.corr(f"_r{x}", f"_r{y}")
-    return j.groupBy(*keys).agg(F.round(F.when(F.isnan(rho) | rho.isNull(), 0.0).otherwise(rho), 6).alias("spearman"))
+    rho = F.covar_pop(f"_r{x}", f"_r{y}") / F.nullif(F.stddev_pop(f"_r{x}") * F.stddev_pop(f"_r{y}"), F.lit(0.0))
+    return j.groupBy(*keys).agg(F.round(F.coalesce(rho, F.lit(0.0)), 6).alias("spearman"))

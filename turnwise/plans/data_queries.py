@@ -162,7 +162,7 @@ def s22(spark, d):
     path = S_.scratch(spark, "lenient")
     lines_with_damage(spark, d, path)
     bad = F.col(S_.CORRUPT).isNotNull()
-    return S_.read_lines(spark, path, TURN_SCHEMA).select(bad.alias("bad"), "convo_id").agg(F.count_if(~F.col("bad") & F.col("convo_id").isNotNull()).alias("good_lines"), F.count_if("bad").cast("int").alias("bad_lines"))
+    return S_.read_lines(spark, path, TURN_SCHEMA).select(bad.alias("bad"), "convo_id").agg(F.count_if(~F.col("bad")).alias("good_lines"), F.count_if("bad").cast("int").alias("bad_lines"))
 
 
 @query("S23_strict_load", W("turns", PER_CONVO))

@@ -35,11 +35,13 @@ def read_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
     """JSON lines. Lenient: rows with ``_corrupt_record`` set for lines that don't parse; strict: the first one fails the query."""
     if strict:
         return spark.read.option("mode", "FAILFAST").schema(schema).json(path)
-    return spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(f"{schema}, {CORRUPT} string").json(path)
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.select(parsed.alias("j")).select("j.*")
 
 
 def good(lines: DataFrame) -> DataFrame:
-    """Without the lines that didn't parse. The corrupt column is kept in the filter's input, as the reader demands."""
+    """Without the lines that didn't parse."""
     return lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
