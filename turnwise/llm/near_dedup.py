@@ -13,10 +13,12 @@
 4. Pairs are verified on the full sets of both texts; components of verified
    links are found by alternating large-star and small-star steps.
 5. What is left are bucket mates that are in different components and of which
-   neither led. They are compared by sketch, in blocks, and only pairs whose
-   estimate lies above ESTIMATE are verified. So no link between two texts that share
-   a bucket is lost. With 56 bands of 5, two texts at similarity 0.75 miss each
-   other with a probability of 2.5e-7; higher ones less.
+   neither led. Sketches, compared in blocks, join components with a pair whose
+   estimate reaches ESTIMATE to families; in a family, whose members move once, all
+   pairs of texts from different components are compared on their full sets, in
+   blocks again. Both steps return one row for each union, not for each pair. So no link
+   between two texts that share a bucket is lost. With 56 bands of 5, two texts
+   at similarity 0.75 miss each other with a probability of 2.5e-7; higher ones less.
 
 No step gathers a bucket, a group or a component in one task or on the driver.
 """
@@ -39,8 +41,9 @@ BANDS = 56
 T = ROWS * BANDS
 #: Least share of equal coordinates of a pair that is verified: five standard deviations under 0.75.
 ESTIMATE = 0.62
-#: Nodes of a bucket that one comparison block holds.
+#: Nodes, and shingles, that one comparison block holds.
 BLOCK = 2048
+BLOCK_SHINGLES = 400_000
 #: Words a worker remembers the hashes of.
 CACHE_WORDS = 500_000
 
@@ -202,38 +205,94 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(own)
 
 
-def _near_in_block(key, table):
-    """Pairs of two blocks of a bucket whose components differ and whose sketches agree on ESTIMATE of their coordinates."""
+def _sides(key, table):
+    """The two blocks of a group; twice the same one where a block meets itself."""
     left = table.filter(pa.compute.equal(table.column("side"), 0))
-    right = table.filter(pa.compute.equal(table.column("side"), 1)) if key[1].as_py() != key[2].as_py() else left
-    x, y = (np.frombuffer(b"".join(s.column("sketch").to_pylist()), np.uint16).reshape(-1, T) for s in (left, right))
-    ids_x, ids_y = left.column("id").to_numpy(), right.column("id").to_numpy()
+    return left, table.filter(pa.compute.equal(table.column("side"), 1)) if key[1].as_py() != key[2].as_py() else left
+
+
+def _joined(left, right, near):
+    """Unites the components of two blocks: near(i) tells which rows of the right are near row i of the left.
+
+    Only rows that aren't yet united with row i are asked about. Returns one (a, b) per union, so fewer than there are components.
+    """
     of_x, of_y = left.column("component").to_numpy(), right.column("component").to_numpy()
-    a, b = [], []
+    names, codes = np.unique(np.concatenate([of_x, of_y]), return_inverse=True)
+    root = np.arange(len(names))
+    x, y = codes[: len(of_x)], codes[len(of_x) :]
+    out = []
     for i in range(len(x)):
-        near = np.flatnonzero((of_y != of_x[i]) & ((ids_y > ids_x[i]) | (left is not right)))
-        near = near[(y[near] == x[i]).sum(axis=1) >= ESTIMATE * T]
-        a.append(np.full(len(near), ids_x[i]))
-        b.append(ids_y[near])
-    a, b = (np.concatenate(z).astype(np.int64) if z else np.zeros(0, np.int64) for z in (a, b))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        apart = np.flatnonzero(root[y] != root[x[i]])
+        for j in apart[near(i, apart)] if len(apart) else ():
+            if root[y[j]] != root[x[i]]:
+                out.append(sorted((int(of_x[i]), int(of_y[j]))))
+                root[root == root[y[j]]] = root[x[i]]
+    return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+
+def _alike_in_block(key, table):
+    """Components of a bucket that have mates with near sketches."""
+    left, right = _sides(key, table)
+    x, y = (np.frombuffer(b"".join(s.column("sketch").to_pylist()), np.uint16).reshape(-1, T) for s in (left, right))
+    return _joined(left, right, lambda i, at: (y[at] == x[i]).sum(axis=1) >= ESTIMATE * T)
+
+
+def _linked_in_block(key, table):
+    """Components of a family that a pair of linked texts joins, by the exact intersections of full sets."""
+    left, right = _sides(key, table)
+    sets = [[np.frombuffer(z, np.uint64) for z in s.column("shingles").to_pylist()] for s in (left, right)]
+    sizes = [np.fromiter(map(len, s), np.int64, len(s)) for s in sets]
+    every = np.concatenate([*sets[0], *sets[1]]) if table.num_rows else np.zeros(0, np.uint64)
+    names, codes = np.unique(every, return_inverse=True)
+    x, y = codes[: sizes[0].sum()], codes[sizes[0].sum() :]
+    x_at, y_at = np.concatenate([[0], np.cumsum(sizes[0])]), np.concatenate([[0], np.cumsum(sizes[1])[:-1]])
+    mark = np.zeros(len(names), np.int32)
+
+    def near(i, at):
+        mine = x[x_at[i] : x_at[i + 1]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[y], y_at)[at]
+        mark[mine] = 0
+        return 100 * both >= PERCENT * (sizes[0][i] + sizes[1][at] - both)
+
+    return _joined(left, right, near)
+
+
+def in_blocks(rows: DataFrame, group: str, blocks: DataFrame, function) -> DataFrame:
+    """``function`` on each pair of blocks of each group. ``blocks``: group, blocks; ``rows``: group, id, component, one binary column."""
+    dealt = rows.join(blocks, group)
+    own = F.pmod(F.xxhash64("id", group), F.col("blocks")).cast("int")
+    spread = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.drop("blocks").withColumns(
+        {"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}
+    )
+    return spread.drop("own", "other").groupBy(group, "i", "j").applyInArrow(function, "a long, b long").distinct()
+
+
+def _set_rows(batches):
+    hashes = WordHashes()
+    for b in batches:
+        sets = [shingle_set(x.as_py(), hashes).tobytes() for x in b.column("text")]
+        same = [hashlib.blake2b(s, digest_size=16).digest() == m for s, m in zip(sets, b.column("mark").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"]).filter(pa.array(same))
 
 
-def residual_pairs(bands: DataFrame, leaders: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Step 5: bucket mates in different components, neither of them the leader, with near sketches."""
+def residual_links(bands: DataFrame, leaders: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Step 5: links (a, b) between components, of bucket mates of which neither led."""
     mates = bands.join(leaders.where("members > 2"), "key").where("id <> lead")
-    mates = mates.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mates = cut(mates)
+    mates = cut(mates.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
     split = mates.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
-    split = split.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_ = mates.join(split, "key").join(nodes.select("id", "sketch"), "id")
-    block = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")
-    spread = open_.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "sketch",
-    )
-    return spread.groupBy("key", "i", "j").applyInArrow(_near_in_block, "a long, b long").distinct()
+    open_ = cut(mates.join(split.select("key"), "key"))
+    blocks = split.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    alike = cut(in_blocks(open_.join(nodes.select("id", "sketch"), "id"), "key", blocks, _alike_in_block))
+    family = components(alike).select(F.col("id").alias("component"), F.col("component").alias("family"))
+    members = cut(open_.select("id", "component").distinct().join(family, "component").join(nodes.select("id", "mark", "n_shingles"), "id"))
+    wanted = bounded_broadcast(members.select("id", "mark"), F.lit(32))
+    sets = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").mapInArrow(_set_rows, "id long, shingles binary")
+    sets = sets.groupBy("id").agg(F.min("shingles").alias("shingles"))
+    size = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    blocks = size.select("family", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return cut(in_blocks(members.select("family", "id", "component").join(sets, "id"), "family", blocks, _linked_in_block))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -248,16 +307,14 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(docs.mapInArrow(_sketch_rows, "doc_id long, n_shingles long, mark binary, sketch binary"))
     nodes = cut(
-        rows.where("n_shingles > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch"))
+        rows.where("n_shingles > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles"))
     )
     bands = nodes.select("id", "sketch").mapInArrow(_band_rows, "key long, id long")
     leaders = cut(bands.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1"))
     pairs = cut(bands.join(leaders, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     links = verified(pairs, nodes, docs)
     found = cut(components(links))
-    more = cut(residual_pairs(bands, leaders, nodes, found))
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    late = verified(cut(more), nodes, docs)
+    late = residual_links(bands, leaders, nodes, found, docs)
     if late.limit(1).count():
         found = components(links.unionByName(late))
     named = nodes.select("mark", "id").join(found, "id", "left").select("mark", F.coalesce("component", "id").alias("node"))
