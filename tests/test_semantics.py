@@ -99,14 +99,20 @@ def test_greedy_filter_is_the_sequential_pass(spark):
         assert sorted(r.id for r in got.collect()) == kept
 
 
-def test_jaccard_pairs(spark):
+def test_jaccard_links(spark):
     rng = random.Random(2)
-    sets = {i: set(rng.sample(range(30), rng.randrange(1, 12))) for i in range(60)}
+    sets = {i: frozenset(rng.sample(range(30), rng.randrange(1, 12))) for i in range(60)}
     sets |= {100 + i: s for i, s in list(sets.items())[:5]}
     df = spark.createDataFrame([(i, str(t)) for i, s in sets.items() for t in s], "id bigint, token string")
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
     for threshold in (0.5, 0.6):
-        want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) > threshold * len(sets[a] | sets[b])}
-        assert {(r.a, r.b) for r in M.jaccard_pairs(df, threshold).collect()} == want
+        members, links = M.jaccard_links(df, threshold)
+        assert {(r["id"], r["class"]) for r in members.collect()} == {(i, first[s]) for i, s in sets.items()}
+        reps = {first[s]: s for s in first}
+        want = {(a, b) for a in reps for b in reps if a < b and len(reps[a] & reps[b]) > threshold * len(reps[a] | reps[b])}
+        assert {(r.a, r.b) for r in links.collect()} == want
 
 
 def test_survivor_chains(spark):

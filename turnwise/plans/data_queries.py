@@ -214,23 +214,28 @@ def doc_tokens(spark, d):
     return A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
 
 
-@query("J7_similar_pairs", f"WITH {DOC_TOKENS}{PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs WHERE jaccard > 0.6")
+CLASSES = ", k AS (SELECT id, list_sort(list(token)) AS ts FROM t GROUP BY id), cl AS (SELECT id, min(id) OVER (PARTITION BY ts) AS class, count(*) OVER (PARTITION BY ts) - 1 AS n_copies FROM k), ln AS (SELECT p.a AS x, p.b AS y FROM pairs p WHERE jaccard > 0.6 UNION ALL SELECT p.b, p.a FROM pairs p WHERE jaccard > 0.6), lc AS (SELECT c.class, count(DISTINCT d.class) AS n_links FROM ln JOIN cl c ON c.id = x JOIN cl d ON d.id = y WHERE c.class <> d.class GROUP BY c.class), counts AS (SELECT id, class, coalesce(n_links, 0) AS n_links, n_copies FROM cl LEFT JOIN lc USING (class))"
+
+
+@query("J7_similar_pairs", f"WITH {DOC_TOKENS}{PAIRS}{CLASSES} SELECT id AS doc_id, class, n_links, n_copies FROM counts")
 def j7(spark, d):
-    return M.jaccard_pairs(doc_tokens(spark, d), 0.6).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return M.link_counts(*M.jaccard_links(doc_tokens(spark, d), 0.6)).withColumnRenamed("id", "doc_id")
 
 
 @query("T5_uniqueness", f"WITH {DOC_TOKENS}{PAIRS} SELECT doc_id, doc_id NOT IN (SELECT a FROM pairs WHERE jaccard > 0.6 UNION SELECT b FROM pairs WHERE jaccard > 0.6) AS is_unique FROM documents")
 def t5(spark, d):
-    p = M.jaccard_pairs(doc_tokens(spark, d), 0.6)
-    twin = p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("t", F.lit(True))
-    return A.table(spark, d, "documents").select("doc_id").join(twin, "doc_id", "left").select("doc_id", F.col("t").isNull().alias("is_unique"))
+    c = M.link_counts(*M.jaccard_links(doc_tokens(spark, d), 0.6)).withColumnRenamed("id", "doc_id")
+    alone = F.coalesce((F.col("n_links") == 0) & (F.col("n_copies") == 0), F.lit(True))
+    return A.table(spark, d, "documents").select("doc_id").join(c, "doc_id", "left").select("doc_id", alone.alias("is_unique"))
 
 
 @query("T15_greedy_filter")
 def t15(spark, d):
-    """Order-dependent; checked against a sequential pass in the tests."""
+    """Order-dependent; checked against a sequential pass in the tests. Of equal texts only the first can survive."""
+    members, links = M.jaccard_links(doc_tokens(spark, d), 0.5)
     ids = A.table(spark, d, "documents").select(F.col("doc_id").alias("id")).distinct()
-    return M.greedy_survivors(ids, M.jaccard_pairs(doc_tokens(spark, d), 0.5)).withColumnRenamed("id", "doc_id")
+    ids = ids.join(members.where("id <> class").select("id"), "id", "left_anti")
+    return M.greedy_survivors(ids, links).withColumnRenamed("id", "doc_id")
 
 
 T17 = """WITH RECURSIVE l AS (SELECT n_nationkey AS id, (n_nationkey * 2 + 1) % 25 AS nxt FROM nation WHERE n_nationkey % 5 <> 0),
