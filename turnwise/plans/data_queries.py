@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -229,9 +230,12 @@ def t5(spark, d):
     return A.table(spark, d, "documents").select("doc_id").join(c, "doc_id", "left").select("doc_id", alone.alias("is_unique"))
 
 
-@query("T15_greedy_filter")
+GREEDY = ", e AS (SELECT b AS id, list(a) AS nb FROM pairs WHERE jaccard > 0.5 GROUP BY b), o AS MATERIALIZED (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS k, coalesce(nb, []::BIGINT[]) AS nb FROM documents LEFT JOIN e ON e.id = doc_id), g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT o.k, CASE WHEN list_has_any(kept, nb) THEN kept ELSE list_append(kept, o.id) END FROM g JOIN o ON o.k = g.k + 1) SELECT unnest(kept) AS doc_id FROM g WHERE k = (SELECT max(k) FROM g)"
+
+
+@query("T15_greedy_filter", f"WITH RECURSIVE {DOC_TOKENS}{PAIRS}{GREEDY}")
 def t15(spark, d):
-    """Order-dependent; checked against a sequential pass in the tests. Of equal texts only the first can survive."""
+    """Order-dependent. Of equal texts only the first can survive."""
     members, links = M.jaccard_links(doc_tokens(spark, d), 0.5)
     ids = A.table(spark, d, "documents").select(F.col("doc_id").alias("id")).distinct()
     ids = ids.join(members.where("id <> class").select("id"), "id", "left_anti")
@@ -338,9 +342,11 @@ def o13(spark, d):
     return O.positions(convos(spark, d), ["domain"], [F.col("convo_id")]).select("convo_id", F.floor(F.col("pos") / 16).alias("batch"))
 
 
-@query("O14_group_batches")
+FOLD = ", z AS MATERIALIZED (SELECT domain AS lane, convo_id AS ord, count(*) AS size, row_number() OVER (PARTITION BY domain ORDER BY convo_id) AS k FROM turns GROUP BY domain, convo_id), f AS (SELECT lane, k, ord, size AS used, 0::BIGINT AS batch FROM z WHERE k = 1 UNION ALL SELECT z.lane, z.k, z.ord, CASE WHEN f.used + z.size > 16 THEN z.size ELSE f.used + z.size END, f.batch + (f.used + z.size > 16)::BIGINT FROM f JOIN z ON z.lane = f.lane AND z.k = f.k + 1) SELECT lane, ord, batch FROM f"
+
+
+@query("O14_group_batches", W("turns", FOLD).replace("WITH", "WITH RECURSIVE", 1))
 def o14(spark, d):
-    """A sequential fold; checked against a loop in the tests."""
     g = A.turns(spark, d).groupBy("domain", "convo_id").agg(F.count(F.lit(1)).alias("size")).select(F.col("domain").alias("lane"), F.col("convo_id").alias("ord"), "size")
     return O.pack_groups(g, 16)
 
@@ -530,3 +536,44 @@ def set_operations(spark, d):
     a, b = g.where("domain = 'd0'").select("flow").distinct(), g.where("domain = 'd1' AND k < 8").select("flow").distinct()
     tag = lambda df, n: df.select(F.lit(n).alias("op"), "flow")
     return tag(a.union(b).distinct(), "union").unionByName(tag(a.intersect(b), "intersect")).unionByName(tag(a.subtract(b), "except"))
+
+
+# -- presentation and execution --------------------------------------------
+
+
+@query("S17_report_injection", S("SELECT config_id, round(sum(correct::INT) / count(*), 6) AS accuracy FROM scored GROUP BY config_id"))
+def s17(spark, d):
+    """A small result goes into a page as ``const DATA = [...];`` and is read out of it again."""
+    path = S_.scratch(spark, "page")
+    r = R.accuracy_by(scored(spark, d), "config_id").select("config_id", "accuracy")
+    S_.inject(r, "<html><script>const DATA = null;</script></html>").write.text(path)
+    return S_.injected(spark, path, "config_id string, accuracy double")
+
+
+@query("S18_markdown_report", S("SELECT config_id, round(sum(correct::INT) / count(*), 6) AS accuracy FROM scored GROUP BY config_id"))
+def s18(spark, d):
+    path = S_.scratch(spark, "report")
+    r = R.accuracy_by(scored(spark, d), "config_id").select("config_id", "accuracy")
+    S_.markdown_table(r).write.text(path)
+    cells = F.split("value", r" \| ")
+    rows = spark.read.text(path).where("NOT value RLIKE '^(config_id|---)'")
+    return rows.select(cells[0].alias("config_id"), cells[1].cast("double").alias("accuracy"))
+
+
+@query("U6_parallel_conversations", W("turns", "SELECT convo_id, count(*) AS n, max(length(utterance))::BIGINT AS longest FROM turns GROUP BY convo_id"))
+def u6(spark, d):
+    """One task slot a partition instead of one thread a conversation."""
+    t = A.turns(spark, d).repartition(8, "convo_id")
+    return t.groupBy("convo_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("utterance")).cast("long").alias("longest"))
+
+
+@query("U9_injected_evaluator", "SELECT event_id, event_id % 3 <> 0 OR length(event_type) > 4 AS match FROM events")
+def u9(spark, d):
+    """An evaluator in Python, in Arrow batches, is asked about the rows that normalised equality leaves open, and about no others."""
+    @F.pandas_udf("boolean")
+    def judge(want: pd.Series) -> pd.Series:
+        return want.str.len() > 4
+
+    e = A.table(spark, d, "events").select("event_id", "event_type", F.when(F.col("event_id") % 3 == 0, F.concat("event_type", F.lit("~"))).otherwise(F.upper("event_type")).alias("got"))
+    same = V.normalised(F.col("event_type")) == V.normalised(F.col("got"))
+    return e.where(same).select("event_id", F.lit(True).alias("match")).unionByName(e.where(~same).select("event_id", judge("event_type").alias("match")))

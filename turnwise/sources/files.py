@@ -117,3 +117,21 @@ def chat_examples(history: DataFrame) -> DataFrame:
     said = F.transform("history", lambda h: F.struct(F.when(F.startswith(h, F.lit("agent")), "assistant").otherwise("user").alias("role"), F.regexp_replace(h, r"^\w+: ", "").alias("content")))
     last = F.array(F.struct(F.lit("user").alias("role"), F.col("utterance").alias("content")))
     return history.withColumn("messages", F.concat(said, last))
+
+
+def inject(rows: DataFrame, template: str) -> DataFrame:
+    """One row, value: ``template`` with the rows (a small result) as ``const DATA = [...];``."""
+    data = rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*rows.columns)))).alias("data"))
+    return data.select(F.regexp_replace(F.lit(template), F.lit(r"const DATA = [^;]*;"), F.concat(F.lit("const DATA = "), "data", F.lit(";"))).alias("value"))
+
+
+def injected(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    page = spark.read.text(path).select(F.regexp_extract("value", r"const DATA = ([^;]*);", 1).alias("data")).where("data <> ''")
+    return page.select(F.inline(F.from_json("data", f"array<struct<{schema.replace(' ', ': ').replace(',:', ',')}>>")))
+
+
+def markdown_table(rows: DataFrame) -> DataFrame:
+    """value: the lines of a pipe table of a small result."""
+    spark = rows.sparkSession
+    head = spark.createDataFrame([(" | ".join(rows.columns),), (" | ".join("---" for _ in rows.columns),)], "value string")
+    return head.unionByName(rows.select(F.concat_ws(" | ", *[F.col(c).cast("string") for c in rows.columns]).alias("value")))
