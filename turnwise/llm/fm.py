@@ -29,9 +29,12 @@ RANK = 8
 EPOCHS = 12
 BATCH = 256
 #: Words remembered by a scoring worker before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 PREDICT_AT = 0.3
 
+_DOUBLES = pa.list_(pa.float64())
+_MODEL = pa.schema([("ids", pa.list_(pa.int64())), ("w", _DOUBLES), ("v", _DOUBLES), ("bias", pa.float64())])
+
 #: A term extractor: text -> (words to look up one by one, further terms of the whole text).
 Extract = Callable[[str], tuple[set, list]]
 #: word -> terms
@@ -156,9 +159,145 @@ def hashed_terms(extract: Extract, terms: Terms) -> Callable[[Iterator[pa.Record
             out = []
             for text in b.column("text").to_pylist():
                 words, more = extract(text)
-                out.append(sorted({term_id(t) for w in words for t in terms(w)} | {term_id(t) for t in more}))
+                out.append(np.array(sorted({term_id(t) for w in words for t in terms(w)} | {term_id(t) for t in more}), np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("y"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "y", "terms"]
+            )
+
+    return run
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, label: str, held_out: Column, extract: Extract, terms: Terms,
+    max_train_rows: int = MAX_TRAIN_ROWS, max_terms: int = MAX_TERMS, min_strength: float = MIN_STRENGTH,
+) -> Model:
+    """Fit on the bounded sample, in one task; only the model, whose size ``max_terms`` bounds, reaches the driver."""
+
+    def run(table):
+        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+        lists = table.column("terms").combine_chunks()
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint32)
+        rows = [values[offsets[i] : offsets[i + 1]] for i in order]
+        m = fit(rows, table.column("y").to_numpy()[order], max_terms=max_terms, min_strength=min_strength)
+        return pa.table({"ids": [m.ids.astype(np.int64)], "w": [m.w], "v": [m.v.reshape(-1)], "bias": [m.bias]}, schema=_MODEL)
+
+    small_batches(docs.sparkSession)
+    sample = labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", label), label, held_out, max_train_rows)
+    hashed = sample.mapInArrow(hashed_terms(extract, terms), "doc_id bigint, y int, terms array<int>")
+    found = hashed.groupBy(F.lit(1)).applyInArrow(run, "ids array<bigint>, w array<double>, v array<double>, bias double").collect()
+    if not found:
+        return constant_model(0.5)
+    ids, w, v, bias = found[0]
+    return Model(np.array(ids, np.uint32), np.array(w, np.float64), np.array(v, np.float64).reshape(-1, RANK), bias)
+
+
+def score(self, at: list[int]) -> float:
+        s = self.bias
+        if at:
+            v = self.v[at]
+            total = v.sum(axis=0)
+            s += float(self.w[at].sum()) + 0.5 * (float(total @ total) - float(np.einsum("ij,ij->", v, v)))
+        return float(1.0 / (1.0 + np.exp(-min(60.0, max(-60.0, s)))))
+
+
+def constant_model(rate: float) -> Model:
+    """What a fit gives without rows, or with one label only."""
+    rate = min(1 - 1e-3, max(1e-3, rate))
+    return Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros((0, RANK)), float(np.log(rate / (1 - rate))))
+
+
+def fit(
+    rows: list[np.ndarray], labels: np.ndarray, seed: int = 7, max_terms: int = MAX_TERMS, min_strength: float = MIN_STRENGTH
+) -> Model:
+    """Adam on the log loss over mini-batches; deterministic for given rows in a given order."""
+    y = np.asarray(labels, dtype=np.float64)
+    n = len(rows)
+    if n == 0 or y.min() == y.max():
+        return constant_model(float(y.mean()) if n else 0.5)
+    lengths = np.fromiter((len(r) for r in rows), np.int64, n)
+    flat = np.concatenate(rows) if lengths.sum() else np.zeros(0, np.uint32)
+    owner = np.repeat(np.arange(n), lengths)
+    ids, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
+    with_1 = np.bincount(inverse, weights=y[owner], minlength=len(ids))
+    p = y.mean()
+    strength = np.abs(with_1 - df * p) / np.sqrt(df * p * (1 - p))
+    strength[(df < MIN_DF) | (strength < min_strength)] = 0
+    order = np.lexsort((ids, -strength))[:max_terms]
+    keep = np.sort(order[strength[order] > 0])
+    if not len(keep):
+        return constant_model(float(p))
+    place = np.full(len(ids), -1, np.int64)
+    place[keep] = np.arange(len(keep))
+    col = place[inverse]
+    col, owner = col[col >= 0], owner[col >= 0]
+    starts = np.searchsorted(owner, np.arange(n + 1))
+    rng = np.random.default_rng(seed)
+    d = len(keep)
+    theta = np.concatenate([np.zeros((d, 1)), rng.normal(0, 0.01, (d, RANK))], axis=1)
+    bias = float(np.log(p / (1 - p)))
+    m, s = np.zeros_like(theta), np.zeros_like(theta)
+    mb = sb = 0.0
+    t = 0
+    for epoch in range(EPOCHS):
+        rate = 0.03 / (1 + 0.15 * epoch)
+        shuffled = rng.permutation(n)
+        for first in range(0, n, BATCH):
+            batch = shuffled[first : first + BATCH]
+            size = starts[batch + 1] - starts[batch]
+            at = np.concatenate([col[starts[b] : starts[b + 1]] for b in batch])
+            row = np.repeat(np.arange(len(batch)), size)
+            x = theta[at]
+            sums = np.zeros((len(batch), RANK + 1))
+            squares = np.zeros(len(batch))
+            full = np.flatnonzero(size)
+            if len(at):
+                cuts = np.concatenate([[0], np.cumsum(size[full])[:-1]])
+                sums[full] = np.add.reduceat(x, cuts, axis=0)
+                squares[full] = np.add.reduceat(np.einsum("ij,ij->i", x[:, 1:], x[:, 1:]), cuts)
+            z = bias + sums[:, 0] + 0.5 * (np.einsum("ij,ij->i", sums[:, 1:], sums[:, 1:]) - squares)
+            g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[batch]) / len(batch)
+            t += 1
+            if len(at):
+                gx = np.empty_like(x)
+                gx[:, 0] = g[row]
+                gx[:, 1:] = g[row][:, None] * (sums[row, 1:] - x[:, 1:])
+                used, back = np.unique(at, return_inverse=True)
+                grad = np.stack([np.bincount(back, weights=gx[:, j], minlength=len(used)) for j in range(RANK + 1)], axis=1)
+                grad += theta[used] * np.concatenate([[L2_W], np.full(RANK, L2_V)])
+                m[used] = 0.9 * m[used] + 0.1 * grad
+                s[used] = 0.999 * s[used] + 0.001 * grad * grad
+                theta[used] -= rate * (m[used] / (1 - 0.9**t)) / (np.sqrt(s[used] / (1 - 0.999**t)) + 1e-8)
+            gb = float(g.sum())
+            mb, sb = 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb * gb
+            bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(sb / (1 - 0.999**t)) + 1e-8)
+    return Model(ids[keep].astype(np.uint32), theta[:, 0].copy(), theta[:, 1:].copy(), bias)
+
+
+def crc_of_id(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, limit: int) -> DataFrame:
+    """At most ``limit`` rows (doc_id, text, y) that are labelled and not held out: those whose doc_id has the smallest hash.
+
+    A doc_id with several labels takes the largest, one with several texts the smallest text.
+    """
+    y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
+    y = y.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
+    chosen = docs.select("doc_id").join(y, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    text = F.coalesce("text", F.lit(""))
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(text).alias("text"))  # at most `limit` rows
+
+
+def hashed_terms(extract: Extract, terms: Terms) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches):
+        for b in batches:
+            out = []
+            for text in b.column("text").to_pylist():
+                words, more = extract(text)
+                out.append(np.array(sorted({term_id(t) for w in words for t in terms(w)} | {term_id(t) for t in more}), np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("y"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "y", "terms"]
+                [b.column("doc_id"), b.column("y"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "y", "terms"]
             )
 
     return run
@@ -171,12 +310,12 @@ def train(
     """Fit on the bounded sample; only hashed terms of at most ``max_train_rows`` rows reach the driver."""
     small_batches(docs.sparkSession)
     sample = labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", label), label, held_out, max_train_rows)
-    found = sample.mapInArrow(hashed_terms(extract, terms), "doc_id bigint, y int, terms array<bigint>").toArrow()
+    found = sample.mapInArrow(hashed_terms(extract, terms), "doc_id bigint, y int, terms array<int>").toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     lists = found.column("terms").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
-    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.uint32)
+        lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint32)
     rows = [values[offsets[i] : offsets[i + 1]] for i in order]
     return fit(rows, found.column("y").to_numpy()[order], max_terms=max_terms, min_strength=min_strength)
 

@@ -45,7 +45,7 @@ ESTIMATE = 0.62
 BLOCK = 2048
 BLOCK_SHINGLES = 400_000
 #: Words a worker remembers the hashes of.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
