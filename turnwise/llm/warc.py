@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import small_batches
+from turnwise.llm.common import bounded_broadcast, cut, small_batches
 from turnwise.llm.files import Pending, store
 
 #: Payloads of fewer bytes are never revisits.
@@ -75,7 +75,7 @@ def with_record_types(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
     alike = rows.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.join(alike, "digest", "left")
+    joined = rows.join(bounded_broadcast(cut(alike), F.lit(64)), "digest", "left")  # else the payloads would be shuffled for it
     other = ~F.col("page_id").eqNullSafe(F.col("last"))
     return joined.select("page_id", "url", "payload", F.when(other, F.col("last")).alias("refers_to"))
 
