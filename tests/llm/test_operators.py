@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,10 +203,12 @@ def crc(ids):
 
 def test_encoder_is_the_library(plain):
     rng, e = random.Random(2), Encoder()
-    parts = [" ", "  ", "\n", "\t", "The", "élan", "1", "22", "!", "'s", "'", "\u00a0", "\u3000", "x", "-", "<|endoftext|>", "\x1c", "\r\n", "日本", "👍", "a,\nb.", "_", "ÉCOLE", "½"]
-    for _ in range(4000):
-        t = "".join(rng.choices(parts, k=rng.randrange(30)))
-        assert list(memoryview(e.encode(t)).cast("I")) == plain(t)[:-1], repr(t)
+    parts = [" ", "  ", "\n", "\t", "The", "élan", "1", "22", "!", "'s", "'", "\u00a0", "\u3000", "x", "-", "<|endoftext|>", "\x1c", "\r\n", "日本", "👍", "a,\nb.", "_", "ÉCOLE", "½", "ü.", "(", ")ß", "\n\n", "ɏ", "”", "…", "×", "a-b_c"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(4000)]
+    assert e.plain
+    for some in (texts[:1000], [None, "", " ", "a b"], [], [texts[7] * 9000, texts[8]], texts[1000:]):
+        ids, offsets = e.encode_many(pa.array(some, pa.string()), 0)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [plain(t) for t in some]
 
 
 def test_token_files(spark, documents, plain):

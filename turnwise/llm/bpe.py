@@ -1,43 +1,42 @@
 """Byte-pair encoding of whole texts through the tokenizers library, remembering pieces between white space.
 
 Byte-level BPE never merges across a space that follows a visible character, so
-a text falls into pieces that are encoded on their own; a worker keeps the ids of
-the pieces it met. A new piece that is plainly letters and ASCII punctuation falls
-further into the pre-tokenizer's parts, whose ids are kept as well; parts that are new
-go to the library's BPE model, all other new pieces to the whole tokenizer.
-Both memories are bounded and start afresh when full.
+a text falls into pieces that are encoded on their own. A worker keeps the ids of
+the pieces it met in one table; texts are split, and their distinct pieces found, by Arrow; new
+pieces go to the library; and the ids of a batch are gathered from the table. The table is
+bounded and starts afresh when full.
+
+Pieces of letters and ASCII punctuation go to the library's BPE model without its
+pre-tokenizer, which would only cut between letters and punctuation: where no
+token of the vocabulary holds both (checked once), no merge crosses such a cut.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-import sys
-from array import array
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-CACHE_PIECES = 600_000
-CACHE_PARTS = 400_000
-#: Longer pieces are encoded without being remembered.
+#: Pieces in the table, and the longest that it keeps.
+CACHE_PIECES = 1_000_000
 CACHED_CHARS = 48
+#: Bytes of text that are encoded at once; small batches are put together up to it.
+MANY_BYTES = 8 << 20
 
-_ODD = re.compile(r"\s ")
-_ODD_ASCII = [c + " " for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f"]
-_CUT = re.compile(r"(?<=\S)(?= )")
-#: Letters, then ASCII punctuation other than an apostrophe; lines of that form joined by single line feeds.
-_PLAIN_LINE = r"[A-Za-zÀ-ÖØ-öø-ɏ]+[!-&(-/:-@\[-`{-~]*"
-_PLAIN = re.compile(rf"{_PLAIN_LINE}(?:\n{_PLAIN_LINE})*\Z")
-_PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|[!-&(-/:-@\[-`{-~]+|\n")
-
-
-def tokenizer_path(name: str) -> str:
-    """A path as it is; a bare name is looked up among the public vocabularies."""
-    if os.sep in name:
-        return name
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+#: Any white space before a space: such texts are encoded whole.
+_ODD = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+_PUNCTUATION = r"!-&(-/:-@\[-`{-~"  # ASCII without the apostrophe, which begins contractions
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"  # written with the bytes A-Z, a-z, 0x80 to 0xBF and 0xC3 to 0xC9
+_PLAIN = re.compile(rf"[{_LETTERS}{_PUNCTUATION}]+(?:\n[{_LETTERS}{_PUNCTUATION}]+)*\Z")
 
 
 def byte_characters() -> list[str]:
@@ -47,15 +46,17 @@ def byte_characters() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
-def _little_endian(ids: list[int]) -> bytes:
-    a = array("I", ids)
-    if sys.byteorder == "big":
-        a.byteswap()
-    return a.tobytes()
+def tokenizer_path(name: str) -> str:
+    """A path as it is; a bare name is looked up among the public vocabularies."""
+    if os.sep in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. Special-token strings in a text are ordinary text."""
+    """Special-token strings in a text are ordinary text."""
 
     def __init__(self, tokenizer: str = TOKENIZER):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -65,52 +66,118 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(tokenizer))
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         before = self.tokenizer.pre_tokenizer
-        self.plain = isinstance(before, ByteLevel) and self.tokenizer.normalizer is None and before.use_regex and not before.add_prefix_space
-        if not self.plain:
+        if not isinstance(before, ByteLevel) or self.tokenizer.normalizer is not None or not before.use_regex or before.add_prefix_space:
             raise ValueError("the tokenizer must be a byte-level one without normalizer and prefix space")
         self.model = Tokenizer(self.tokenizer.model)
-        self.characters = byte_characters()
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [_little_endian(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _new(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces, each after a space."""
-        parts = self.parts
-        split = {x: _PARTS.findall(" " + x) for x in pieces if _PLAIN.match(x)}
-        other = [x for x in pieces if x not in split]
-        lacking = list({y for ys in split.values() for y in ys if y not in parts})
-        if len(parts) + len(lacking) > CACHE_PARTS:
-            parts.clear()
-            lacking = list({y for ys in split.values() for y in ys})
-        if lacking:
-            of, space, line = self.characters.__getitem__, self.characters[32], self.characters[10]
-            written = [y.replace(" ", space).replace("\n", line) if y.isascii() else "".join(map(of, y.encode())) for y in lacking]
-            parts.update(zip(lacking, (_little_endian(e.ids) for e in self.model.encode_batch_fast(written, add_special_tokens=False)), strict=True))
-        out = {x: b"".join(map(parts.__getitem__, ys)) for x, ys in split.items()}
-        if other:
-            out.update(zip(other, self._library([" " + x for x in other]), strict=True))
-        return out
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(x in text for x in _ODD_ASCII) or not text.isascii() and _ODD.search(text):
-            first, *rest = _CUT.split(text)
-            rest = [x[1:] for x in rest]
-        else:
-            first, *rest = text.split(" ")
-        known = self.pieces
-        found = list(map(known.get, rest))
-        if None in found:
-            at = [i for i, y in enumerate(found) if y is None]
-            new = self._new(list({rest[i] for i in at}))
-            for i in at:
-                found[i] = new[rest[i]]
-            if len(known) + len(new) > CACHE_PIECES:
-                known.clear()
-            known.update((x, y) for x, y in new.items() if len(x) <= CACHED_CHARS)
-        return self._library([first])[0] + b"".join(found)
+        written = byte_characters()
+        self.written = {b: c for b, c in enumerate(written) if ord(c) != b}
+        self.space, self.line = written[32], written[10]
+        self.plain = self._no_token_crosses(written)
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _no_token_crosses(self, written: list[str]) -> bool:
+        """Whether no token made of plain pieces' bytes holds letters and punctuation, or a line feed and anything else."""
+        letter = "A-Za-z" + re.escape("".join(written[0x80:0xC0] + written[0xC3:0xCA]))
+        possible = re.compile(rf"{self.space}?[{letter}{_PUNCTUATION}{self.line}]+")
+        kinds = [re.compile(f"[{k}]") for k in (letter, _PUNCTUATION, self.line)]
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}  # no merge makes these
+        return not any(possible.fullmatch(t) and sum(bool(k.search(t)) for k in kinds) > 1 for t in self.tokenizer.get_vocab() if t not in special)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _new(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces, each after a space, in their order."""
+        match, table, space, line = _PLAIN.match, self.written, self.space, self.line
+        plain = [self.plain and match(x) is not None for x in pieces]
+        words = [
+            space + (x.replace("\n", line) if x.isascii() else x.encode().decode("latin-1").translate(table))
+            for x, y in zip(pieces, plain, strict=True) if y
+        ]
+        of_word = iter([e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)] if words else [])
+        other = iter(self._library([" " + x for x, y in zip(pieces, plain, strict=True) if not y]))
+        return [next(of_word) if y else next(other) for y in plain]
+
+    def _many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False).astype(bool)
+        whole = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        lists = pc.split_pattern(whole, " ")
+        flat, at = lists.flatten(), np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
+        # a text's first piece has no space before it
+        firsts = flat.take(pa.array(at[:-1])).to_pylist()
+        for i in np.flatnonzero(odd).tolist():
+            firsts[i] = texts[i].as_py()
+        code = pc.index_in(flat, value_set=self.known)
+        if len(self.known) and (len(self.known) + code.null_count > CACHE_PIECES or len(self.ids) > 8 * CACHE_PIECES):
+            self._fresh()
+            code = pc.index_in(flat, value_set=self.known)
+        coded = flat.filter(code.is_null()).dictionary_encode()
+        lacks, known = coded.dictionary, len(self.known)
+        new = self._new(lacks.to_pylist()) + self._library(firsts)
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.uint32, int(size.sum()))])
+        start, size = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size]), np.concatenate([self.size, size])
+        row = code.fill_null(-1).to_numpy().astype(np.int64)
+        row[row < 0] = known + coded.indices.to_numpy()
+        row[at[:-1]] = known + len(lacks) + np.arange(len(texts))
+        of = size[row]
+        ends = np.cumsum(of)
+        out = ids[np.repeat(start[row] - (ends - of), of) + np.arange(int(ends[-1]))]
+        keep = np.flatnonzero(pc.less_equal(pc.utf8_length(lacks), CACHED_CHARS).to_numpy(zero_copy_only=False))
+        self.known = pa.concat_arrays([self.known, lacks.take(pa.array(keep))])
+        keep = np.concatenate([np.arange(known), known + keep])
+        self.ids, self.start, self.size = ids[: start[known + len(lacks)]].copy(), start[keep], size[keep]
+        return out, np.concatenate([[0], ends[at[1:] - 1]])
+
+    def encode_many(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts (null: empty), ``end_id`` after each, as little-endian uint32, and the offsets of the texts in them."""
+        texts = pc.fill_null(texts, "")
+        collects = gc.isenabled()
+        gc.disable()  # hundreds of thousands of new lists, none of them in a cycle
+        try:
+            return self._in_parts(texts, end_id)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _in_parts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        into = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // MANY_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(into)) + 1).tolist(), len(texts)]
+        parts, offsets, base = [], [np.zeros(1, np.int64)], 0
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            ids, at = self._many(texts.slice(a, b - a))
+            last = at[1:] + np.arange(b - a)
+            out = np.full(len(ids) + b - a, end_id, "<u4")
+            plain = np.ones(len(out), bool)
+            plain[last] = False
+            out[plain] = ids
+            parts.append(out)
+            offsets.append(base + last + 1)
+            base += len(out)
+        return np.concatenate(parts) if parts else np.zeros(0, "<u4"), np.concatenate(offsets)
+
+
+def put_together(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about MANY_BYTES of text."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= MANY_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+@lru_cache(maxsize=2)
+def encoder(tokenizer: str = TOKENIZER) -> Encoder:
+    """One encoder a worker process, so that its table outlives a task."""
+    return Encoder(tokenizer)

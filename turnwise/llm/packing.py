@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.bpe import END_ID, TOKENIZER, Encoder
+from turnwise.llm.bpe import END_ID, TOKENIZER, encoder, put_together
 from turnwise.llm.common import cut, small_batches
 
 CAPACITY = 2048
@@ -81,17 +81,17 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
     """
 
     def run(batches):
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        bpe = encoder(tokenizer)
+        for b in put_together(batches):
             rows = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                data = encoder.encode(text.as_py()) + end
-                n = len(data) // 4
+            ids, offsets = bpe.encode_many(b.column("text"), end_id)
+            for doc_id, at, to in zip(b.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                n = to - at
                 first = (n - 1) % capacity + 1
                 for k, start in enumerate([0, *range(first, n, capacity)]):
                     stop = first if k == 0 else start + capacity
-                    part = data[4 * start : 4 * stop]
-                    rows.append((doc_id, k, start, stop - start, zlib.crc32(part), part if with_ids else None))
+                    part = ids[at + start : at + stop]
+                    rows.append((doc_id, k, start, stop - start, zlib.crc32(part), part.tobytes() if with_ids else None))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             arrays = [pa.array(columns[i], t) for i, t in enumerate([pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])]
             keep = 6 if with_ids else 5

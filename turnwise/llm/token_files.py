@@ -23,41 +23,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from turnwise.llm.bpe import END_ID, TOKENIZER, Encoder
+from turnwise.llm.bpe import END_ID, TOKENIZER, encoder, put_together
 from turnwise.llm.common import small_batches
 from turnwise.llm.files import Pending, mapped
 
-NULL_ID = np.iinfo(np.int64).min
-#: Bytes of ids a writer holds back before it hands them to the file.
-BUFFER = 4 << 20
+NULL_ID = int(np.iinfo(np.int64).min)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
     """Encodes every whole text of ``docs`` (doc_id, text) into ``folder``, in ascending doc_id order (null first, ties by text)."""
 
     def run(batches):
-        encoder = Encoder(tokenizer)
-        dtype = "<u2" if encoder.vocabulary <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        end = np.array([end_id], "<u4").tobytes()
-        shard, files, held, offsets, ids = TaskContext.get().partitionId(), None, [], [0], []
-        for b in batches:
+        bpe = encoder(tokenizer)
+        dtype = "<u2" if bpe.vocabulary <= 1 << 16 and end_id < 1 << 16 else "<u4"
+        shard, files, offsets, ids = TaskContext.get().partitionId(), None, [np.zeros(1, np.int64)], []
+        for b in put_together(batches):
             files = files or [Pending(folder, f"{kind}-{shard:06d}.bin") for kind in ("tokens", "offsets", "doc_ids")]
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                data = encoder.encode(text.as_py()) + end
-                held.append(data)
-                offsets.append(offsets[-1] + len(data) // 4)
-                ids.append(NULL_ID if doc_id is None else doc_id)
-            if sum(map(len, held)) >= BUFFER:
-                files[0].write(np.frombuffer(b"".join(held), "<u4").astype(dtype).tobytes())
-                held = []
+            tokens, at = bpe.encode_many(b.column("text"), end_id)
+            files[0].write(tokens.astype(dtype).tobytes())
+            offsets.append(offsets[-1][-1] + at[1:])
+            ids.append(b.column("doc_id").fill_null(NULL_ID).to_numpy())
         if files:
-            files[0].write(np.frombuffer(b"".join(held), "<u4").astype(dtype).tobytes())
-            files[1].write(np.array(offsets, "<i8").tobytes())
-            files[2].write(np.array(ids, "<i8").tobytes())
+            offsets, ids = np.concatenate(offsets), np.concatenate(ids)
+            files[1].write(offsets.astype("<i8").tobytes())
+            files[2].write(ids.astype("<i8").tobytes())
             for f in files:
                 f.commit()
             yield pa.RecordBatch.from_pydict(
-                {"shard": [shard], "width": [int(dtype[2])], "n_docs": [len(ids)], "n_tokens": [offsets[-1]]},
+                {"shard": [shard], "width": [int(dtype[2])], "n_docs": [len(ids)], "n_tokens": [int(offsets[-1])]},
                 schema=pa.schema([("shard", pa.int64()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
             )
 
