@@ -52,7 +52,7 @@ def _terms(line: str):
 
 def license_lines(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """row, line, license, cosine: the best template of each cue line that reaches ``least``. ``files``: row, text."""
-    lines = files.where(F.col("text").rlike(CUES)).select("row", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    lines = files.select("row", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     lines = cut(lines.where(F.col("body").rlike(CUES)).select("row", "line", _terms("body").alias("terms")))
     total = lines.count()
     t = templates.select("license", "template", F.explode(_terms("line")).alias("term")).groupBy("license", "template", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -88,7 +88,8 @@ def license_scan(
     """
     templates = template_table(files.sparkSession) if templates is None else templates
     rows = files.select(*carry, "path", "text").withColumn("row", F.xxhash64(F.coalesce("path", F.lit("\x00")), F.coalesce("text", F.lit(""))))
-    found = license_lines(rows.select("row", "text").dropDuplicates(["row"]), templates, least)
+    cued = rows.where(F.col("text").rlike(CUES)).select("row", "text").dropDuplicates(["row"])
+    found = license_lines(cued, templates, least)
     best = found.groupBy("row").agg(F.max(F.struct("cosine", "license")).alias("b"), F.count(F.lit(1)).alias("n_lines"))
     own = cut(rows.select(*carry, "path", "row").join(best, "row", "left").select(*carry, "path", F.col("b.license").alias("own_license"), F.col("b.cosine").alias("cosine"), F.coalesce("n_lines", F.lit(0)).alias("n_lines")))
     parts = F.split("path", "/")
