@@ -98,6 +98,18 @@ def test_quality_rules(spark, documents):
             assert by[i].symbol_rate_max == q[0] + max(100, 3 * (q[1] - q[0]))
 
 
+def test_quality_rules_of_a_dirty_source(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(400):
+        junk = k % 10 < 3  # 30% of the source
+        w = words_of(rng, 40)
+        rows.append((k, " ".join(x + "#$" * 2 if junk and j % 2 else x for j, x in enumerate(w)), "en", "dirty"))
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[k].symbol_rate > 100 for k in range(400) if k % 10 < 3)
+    assert {k for k, r in got.items() if r.kept} == {k for k in range(400) if k % 10 >= 3}
+
+
 def test_near_dedup(spark, documents):
     def shingles(text):
         w = [x for x in split_words("".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in text or ""))]

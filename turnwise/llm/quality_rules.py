@@ -25,7 +25,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: A group with fewer documents takes its language's sketch, then that of all documents.
 MIN_GROUP = 100
-#: metric -> (least slack over the median, multiple of the spread q90 - q50), both in grid steps.
+#: metric -> (least slack over the median, multiple of the spread), both in grid steps. The spread is the smaller
+#: of q90 - q50 and q50 - q10: junk lies above, and what is less than half of a group can't widen the second.
 FENCES = {"symbol_rate": (100, 3), "dup_line_rate": (100, 3), "word_len": (60, 4)}
 METRICS = list(FENCES)
 
@@ -98,7 +99,7 @@ def sketches(stats: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> Da
 
 
 def quantiles(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Median and 90th percentile of each (keys, metric): the least cell whose running count reaches the share."""
+    """10th percentile, median and 90th percentile of each (keys, metric): the least cell whose running count reaches the share."""
     by = [*keys, "metric"]
     merged = sketch.groupBy(*by, "cell").agg(F.sum("n").alias("n"))
     running = merged.select(
@@ -108,6 +109,7 @@ def quantiles(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )
     return running.groupBy(*by).agg(
         F.max("total").alias("total"),
+        F.min(F.when(F.col("run") * 10 >= F.col("total"), F.col("cell"))).alias("q10"),
         F.min(F.when(F.col("run") * 10 >= F.col("total") * 5, F.col("cell"))).alias("q50"),
         F.min(F.when(F.col("run") * 10 >= F.col("total") * 9, F.col("cell"))).alias("q90"),
     )
@@ -118,9 +120,10 @@ def thresholds(sketch: DataFrame, keys: tuple[str, str] = ("lang", "source"), mi
     first = keys[0]
 
     def fenced(level: tuple[str, ...]) -> DataFrame:
+        spread = F.least(F.col("q90") - F.col("q50"), F.col("q50") - F.col("q10"))
         bound = None
         for m, (slack, times) in FENCES.items():
-            x = F.col("q50") + F.greatest(F.lit(slack), (F.col("q90") - F.col("q50")) * times)
+            x = F.col("q50") + F.greatest(F.lit(slack), spread * times)
             bound = x if bound is None else F.when(F.col("metric") == m, x).otherwise(bound)
         q = quantiles(sketch, level).withColumn("bound", bound)
         return q.groupBy(*level).agg(
