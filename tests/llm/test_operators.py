@@ -315,6 +315,23 @@ def test_license_scan(spark):
     ])
 
 
+def own_licenses(spark, lines):
+    df = spark.createDataFrame([(f"f{k}.txt", x) for k, x in enumerate(lines)], "path string, text string")
+    by = {r.path: r.own_license for r in license_scan(df).collect()}
+    return [by[f"f{k}.txt"] for k in range(len(lines))]
+
+
+def test_license_lines_of_the_documents(spark):
+    want = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "all-rights-reserved", "Released under the MIT License.": "MIT",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND-4.0",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0": "CC-BY-NC-SA-4.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+    }
+    assert own_licenses(spark, [x for x in want for _ in range(20)]) == [x for x in want.values() for _ in range(20)]
+
+
 def test_decontaminate(spark, documents):
     def words(text):
         out, word = [], ""
