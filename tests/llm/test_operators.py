@@ -332,6 +332,18 @@ def test_license_lines_of_the_documents(spark):
     assert own_licenses(spark, [x for x in want for _ in range(20)]) == [x for x in want.values() for _ in range(20)]
 
 
+def test_license_among_other_words(spark):
+    pad = "lorem ipsum dolor sit amet " * 200
+    want = [
+        ("Foo is released under the MIT License.", "MIT"), ("Licensed under the MIT License, see LICENSE.txt", "MIT"),
+        ("Copyright (c) 2024 Jane Doe. All rights reserved.", "all-rights-reserved"), ("# Copyright 2021 Acme Inc. Licensed under the Apache License, Version 2.0", "Apache-2.0"),
+        (pad + "Licensed under CC BY-NC 4.0. " + pad, "CC-BY-NC-4.0"), (pad + "This work is licensed under the GNU General Public License, version 3. " + pad, "GPL-3.0"),
+        ("Foo is released under the Bar License.", None), ("Acme 2 and all that: SPDX-License-Identifier: Foo-1.0 " + pad, None), (pad + "a driving licence " + pad, None),
+    ]
+    lines = [x for x, _ in want] + ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "All rights reserved."] * 300
+    assert own_licenses(spark, lines)[: len(want)] == [x for _, x in want]
+
+
 def test_decontaminate(spark, documents):
     def words(text):
         out, word = [], ""

@@ -2,6 +2,8 @@
 
 Only lines with a cue word are scored, each as a sparse vector over the templates'
 own terms; how rare a term is, is counted over the cue lines of all documents.
+A line is scored whole and in windows around its cue words, each as long as a
+template, so what else stands on the line doesn't hide a notice.
 The dot products are an equi-join on terms with the template weights, whose size
 is the templates'. A file without a license of its own takes that of the nearest
 ancestor directory that has a license file, by one equi-join of ancestors.
@@ -12,13 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import cut
+from turnwise.llm.common import bounded_broadcast, cut, let
 
 #: Least cosine at which a line counts as a template.
 LEAST_COSINE = 0.6
 #: Names of files whose license holds for their directory and all below.
 LICENSE_FILES = ("license", "licence", "copying", "notice")
 CUES = r"(?i)licen[cs]e|copyright|rights reserved|public domain|all rights|permission is hereby|redistribution and use|spdx"
+#: A single term of a cue: windows are laid around these.
+CUE_TERM = r"licen[cs]e|copyright|rights|domain|permission|redistribution|spdx"
+#: Weight of a word in a window that no template has, whatever the size of the corpus.
+FOREIGN = 4.0
 #: Short notices as people put them in headers. Fixed values.
 TEMPLATES = {
     "Apache-2.0": [
@@ -62,8 +68,47 @@ def _terms(line: str):
     return F.array_remove(F.split(F.lower(line), r"[^0-9a-z]+"), "")
 
 
+def _windows(lines: DataFrame, sizes: list[int]) -> DataFrame:
+    """row, line, size, window: the runs of ``size`` terms that hold a cue term; a shorter line is its own only window."""
+
+    def around(terms, size):
+        last = F.greatest(F.lit(0), F.size(terms) - size)
+        cues = F.filter(F.transform(terms, lambda x, i: F.when(x.rlike(CUE_TERM), i)), lambda i: i.isNotNull())
+        starts = F.array_distinct(F.flatten(F.transform(cues, lambda i: F.sequence(F.greatest(F.lit(0), i - (size - 1)), F.least(i, last)))))
+        return F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), F.array_join(F.slice(terms, i + 1, size), " ").alias("window")))
+
+    found = let(F.col("terms"), lambda terms: F.flatten(F.array(*[around(terms, n) for n in sizes])))
+    return lines.select("row", "line", F.explode(found).alias("w")).select("row", "line", "w.size", "w.window")
+
+
+def _window_lines(lines: DataFrame, weighed: DataFrame, norms: DataFrame, rarity: DataFrame, least: float) -> DataFrame:
+    """row, line, cosine, size, license: each line's best window that reaches ``least``.
+
+    A window is compared with the templates of its size, and must hold every
+    term of the template that no other license has or that is part of the license's
+    name: a notice that differs from it just in the name or version is of another license.
+    """
+    only = weighed.groupBy("term").agg(F.count_distinct("license").alias("licenses"))
+    size = weighed.groupBy("template").agg(F.sum("tf").cast("int").alias("size"))
+    t = cut(weighed.join(only, "term").join(size, "template").select("term", "license", "template", "size", "w", ((F.col("licenses") == 1) | F.array_contains(_terms("license"), F.col("term"))).cast("int").alias("own")))
+    needed = t.groupBy("template").agg(F.sum("own").alias("needed"))
+    windows = _windows(lines, sorted(r["size"] for r in size.select("size").distinct().collect()))
+    terms = windows.select("size", "window").distinct().select("size", "window", F.explode(F.split("window", " ")).alias("term"))
+    counted = terms.groupBy("size", "window", "term").agg(F.count(F.lit(1)).alias("n"))
+    vector = cut(counted.join(rarity, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(FOREIGN))))
+    norm = vector.groupBy("size", "window").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = vector.join(F.broadcast(t), ["term", "size"]).groupBy("size", "window", "license", "template")
+    dots = dots.agg(F.sum(F.col("x") * F.col("w")).alias("dot"), F.sum("own").alias("held"))
+    near = dots.join(F.broadcast(needed), "template").where("held = needed").join(F.broadcast(norms), "template").join(norm, ["size", "window"])
+    near = near.withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)).where(F.col("cosine") >= least)
+    best = cut(near.groupBy("size", "window").agg(F.max(F.struct("cosine", "license")).alias("b")))
+    hits = windows.join(bounded_broadcast(best, F.octet_length("window")), ["size", "window"])
+    b = hits.groupBy("row", "line").agg(F.max(F.struct("b.cosine", "size", "b.license")).alias("b"))
+    return b.select("row", "line", "b.cosine", "b.size", "b.license")
+
+
 def license_lines(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """row, line, license, cosine: the best template of each cue line that reaches ``least``. ``files``: row, text."""
+    """row, line, license, cosine: the best template of each cue line, whole or in a window, that reaches ``least``. ``files``: row, text."""
     lines = files.select("row", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     lines = cut(lines.where(F.col("body").rlike(CUES)).select("row", "line", _terms("body").alias("terms")))
     total = lines.count()
@@ -83,7 +128,10 @@ def license_lines(files: DataFrame, templates: DataFrame, least: float = LEAST_C
     dots = dots.groupBy("row", "line", "license", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     cosine = dots.join(F.broadcast(norms), "template").join(own, ["row", "line"]).withColumn("cosine", F.col("dot") / (F.col("norm") * F.col("t_norm")))
     best = F.max(F.struct(F.round("cosine", 6).alias("cosine"), F.col("license")))
-    return cosine.groupBy("row", "line").agg(best.alias("b")).where(F.col("b.cosine") >= least).select("row", "line", "b.license", "b.cosine")
+    whole = cosine.groupBy("row", "line").agg(best.alias("b")).where(F.col("b.cosine") >= least)
+    whole = whole.select("row", "line", "b.cosine", F.lit(1 << 30).alias("size"), "b.license")  # before an equal window
+    either = whole.unionByName(_window_lines(lines, weighed, norms, rarity, least)).groupBy("row", "line").agg(F.max(F.struct("cosine", "size", "license")).alias("b"))
+    return either.select("row", "line", "b.license", "b.cosine")
 
 
 def license_scan(
