@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,13 +20,18 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint directory.
+
+    Where both are unset, a local master, whose executor is the driver, gets a
+    temporary folder; on a cluster that would hide files from the executors, so it is an error.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="turnwise-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
     return found
 
 
@@ -46,10 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, size: Column | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when it is counted to be small, and unchanged (a shuffled join) beyond that."""
+def fits_broadcast(df: DataFrame, size: Column | None = None) -> bool:
+    """Whether ``df`` is counted to have at most BROADCAST_ROWS rows and, by ``size`` of each, BROADCAST_BYTES bytes."""
     n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size) if size is not None else F.lit(0), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and total <= BROADCAST_BYTES else df
+    return n <= BROADCAST_ROWS and total <= BROADCAST_BYTES
+
+
+def bounded_broadcast(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint when it fits, and unchanged (a shuffled join) beyond that."""
+    return F.broadcast(df) if fits_broadcast(df, size) else df
 
 
 def ascii_lower(text: Column) -> Column:
@@ -69,11 +80,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lower the session's default rows of an Arrow batch: texts can be very long, and a worker holds a batch whole."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+def sliced(batches, rows: int = 1000):
+    """The same rows in Arrow batches of at most ``rows``: Spark bounds a batch by bytes, and a worker turns one at a time into Python objects."""
+    for b in batches:
+        for first in range(0, b.num_rows, rows):
+            yield b.slice(first, rows)
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:

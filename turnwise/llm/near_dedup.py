@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import bounded_broadcast, cut, small_batches
+from turnwise.llm.common import bounded_broadcast, cut
 
 SHINGLE = 5
 PERCENT = 75
@@ -303,7 +303,6 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     kept only where no document with an id is in it. An empty table gives an
     empty result.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(docs.mapInArrow(_sketch_rows, "doc_id long, n_shingles long, mark binary, sketch binary"))
     nodes = cut(
