@@ -4,7 +4,9 @@ A URL with h host labels makes h suffixes; of its path, only the prefixes whose
 length some rule has. Both counts depend on the URL and the rule list, never on
 the table. Expressions meet the rules on a 32-bit prefix of their SHA-256; the
 full digest confirms a match, and the longest rule wins inside the URL's own row
-group. The rule side is broadcast only when it is counted to be small.
+group. Rows are numbered and regrouped in one pass, whose expressions Spark
+aggregates map-side to one row per URL; nothing is joined back. The rule side is
+broadcast only when it is counted to be small.
 """
 
 from __future__ import annotations
@@ -65,23 +67,20 @@ def url_filter(pages: DataFrame, rules: DataFrame | None = None, default: str =
     r = r.select("*", _digest(F.col("r_host"), F.col("r_path")).alias("r_full"))
     r = r.select("*", F.substring("r_full", 1, SHORT_HEX).alias("short"))
     lengths = sorted(x[0] for x in r.select(F.length("r_path")).distinct().collect())  # bounded by the longest rule path
-    urls = parsed(pages).withColumn("row", F.monotonically_increasing_id())
+    urls = parsed(pages).withColumn("row", F.monotonically_increasing_id())  # in one branch only: a second reading may number rows otherwise
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(
         F.filter(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("path")),
         lambda n: F.substring(F.col("path"), F.lit(1), n),
     )
-    pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("s"), p.alias("p")))))
-    spread = urls.select("row", F.explode(pairs).alias("e")).select("row", _digest(F.col("e.s"), F.col("e.p")).alias("full"))
-    spread = spread.select("row", "full", F.substring("full", 1, SHORT_HEX).alias("short"))
-    hits = spread.join(bounded_broadcast(r), "short").where("full = r_full")
-    best = hits.groupBy("row").agg(
-        F.max(F.struct(
-            F.length(F.concat("r_host", "r_path")).alias("n"), F.length("r_host").alias("h"), F.col("r_verdict").alias("v"),
-            F.concat("r_host", "r_path").alias("rule"),
-        )).alias("b")
+    digests = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: _digest(s, p))))
+    spread = urls.select("row", "page_id", "host", "path", F.explode_outer(digests).alias("full"))
+    spread = spread.withColumn("short", F.substring("full", 1, SHORT_HEX))
+    met = spread.join(bounded_broadcast(r).withColumnRenamed("short", "r_short"), (F.col("short") == F.col("r_short")) & (F.col("full") == F.col("r_full")), "left")
+    fit = F.struct(
+        F.length(F.concat("r_host", "r_path")).alias("n"), F.length("r_host").alias("h"), F.col("r_verdict").alias("v"),
+        F.concat("r_host", "r_path").alias("rule"),
     )
-    return urls.join(best, "row", "left").select(
-        "page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.v", F.lit(default)).alias("verdict")
-    )
+    best = met.groupBy("row", "page_id", "host", "path").agg(F.max(F.when(F.col("r_full").isNotNull(), fit)).alias("b"))
+    return best.select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.v", F.lit(default)).alias("verdict"))
