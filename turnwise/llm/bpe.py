@@ -9,6 +9,8 @@ bounded and starts afresh when full.
 Pieces of letters and ASCII punctuation go to the library's BPE model without its
 pre-tokenizer, which would only cut between letters and punctuation: where no
 token of the vocabulary holds both (checked once), no merge crosses such a cut.
+A text that holds the string of an added token, such as the end of text, is
+encoded whole, as the library gives such strings their own ids.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """Special-token strings in a text are ordinary text."""
+    """The ids that the library gives with add_special_tokens=False: strings of added tokens in a text have the tokens' ids."""
 
     def __init__(self, tokenizer: str = TOKENIZER):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,7 +66,7 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(tokenizer))
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
         before = self.tokenizer.pre_tokenizer
         if not isinstance(before, ByteLevel) or self.tokenizer.normalizer is not None or not before.use_regex or before.add_prefix_space:
@@ -85,7 +87,7 @@ class Encoder:
         letter = "A-Za-z" + re.escape("".join(written[0x80:0xC0] + written[0xC3:0xCA]))
         possible = re.compile(rf"{self.space}?[{letter}{_PUNCTUATION}{self.line}]+")
         kinds = [re.compile(f"[{k}]") for k in (letter, _PUNCTUATION, self.line)]
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}  # no merge makes these
+        special = set(self.added)  # no merge makes these
         return not any(possible.fullmatch(t) and sum(bool(k.search(t)) for k in kinds) > 1 for t in self.tokenizer.get_vocab() if t not in special)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -105,6 +107,8 @@ class Encoder:
 
     def _many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False).astype(bool)
+        for content in self.added:
+            odd |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False).astype(bool)
         whole = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         lists = pc.split_pattern(whole, " ")
         flat, at = lists.flatten(), np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
