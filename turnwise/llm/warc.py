@@ -8,8 +8,11 @@ Files get their names only when complete, and the manifest, a Parquet table whos
 rows are the files with their sizes and SHA-256, commits the whole. A repeated
 task writes the same bytes, so losing an executor costs its running shards.
 
-Equal payloads are found by digest: a groupBy that Spark pre-aggregates map-side
-keeps the largest page_id of each, and only digests that occur twice are joined back.
+Equal payloads are found by digest, over narrow rows without payloads: a groupBy
+that Spark pre-aggregates map-side keeps the largest page_id of each, and a join
+on the digest names the pages that revisit it. Those names travel with the
+payloads through the one range shuffle, just before their records, whatever the
+share of repeated payloads is; no payload is moved for the sake of a join.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import bounded_broadcast, cut, small_batches
+from turnwise.llm.common import cut, sliced
 from turnwise.llm.files import Pending, store
 
 #: Payloads of fewer bytes are never revisits.
@@ -70,14 +73,31 @@ def gzip_member(data: bytes, level: int = LEVEL) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def with_record_types(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload (binary), refers_to (null for a response)."""
+def payloads(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
+    """page_id, url, digest (binary; null below ``least`` bytes), payload (binary)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
-    alike = rows.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.join(bounded_broadcast(cut(alike), F.lit(64)), "digest", "left")  # else the payloads would be shuffled for it
-    other = ~F.col("page_id").eqNullSafe(F.col("last"))
-    return joined.select("page_id", "url", "payload", F.when(other, F.col("last")).alias("refers_to"))
+    return rows.select("page_id", "url", F.when(F.octet_length("payload") >= least, F.unhex(F.sha1("payload"))).alias("digest"), "payload")
+
+
+def revisits(rows: DataFrame) -> DataFrame:
+    """page_id, url, digest, refers_to of the rows of :func:`payloads` that revisit another page.
+
+    The join is on the digest: a frequent one is a skewed key on the row side alone, which AQE splits.
+    """
+    narrow = rows.where("digest is not null").select("page_id", "url", "digest")
+    alike = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
+    named = narrow.join(alike.select("digest", "refers_to"), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return named.select("page_id", "url", "digest", "refers_to").distinct()
+
+
+def in_order(pages: DataFrame) -> DataFrame:
+    """page_id, url, digest, refers_to, payload, range-partitioned and sorted: each row that names a revisit's target (its payload
+    is null, so it is first) stands just before the payloads it is meant for."""
+    rows = payloads(pages)
+    named = cut(revisits(rows)).withColumn("payload", F.lit(None).cast("binary"))
+    both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(named)
+    keys = ["page_id", "url", "digest"]
+    return both.select(*keys, "refers_to", "payload").repartitionByRange("page_id", "url").sortWithinPartitions(*keys, "payload")
 
 
 def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str = DATE, level: int = LEVEL) -> None:
@@ -92,14 +112,19 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date
             row = [name, records, out.size, digest.hexdigest(), first, last]
             return pa.RecordBatch.from_pydict({k: [x] for (k, _), x in zip(kinds, row, strict=True)}, schema=pa.schema(kinds))
 
-        for b in batches:
-            for page_id, url, payload, refers in zip(*(b.column(i) for i in range(4)), strict=True):
-                last = page_id.as_py()
+        key = named = None
+        for b in sliced(batches):
+            for page_id, url, digest_of, refers, payload in zip(*(b.column(i) for i in range(5)), strict=True):
+                last, url, payload = page_id.as_py(), url.as_py(), payload.as_py()
+                mine = (last, url, digest_of.as_py())
+                if payload is None:
+                    key, named = mine, refers.as_py()
+                    continue
+                target = named if key == mine else None
                 if out is None:
                     name, records, digest, first = f"part-{shard:06d}-{n:04d}.warc.gz", 0, hashlib.sha256(), last
                     out, n = Pending(folder, name), n + 1
-                target = refers.as_py()
-                data = gzip_member(record(last, url.as_py(), payload.as_py(), target, target is not None, date), level)
+                data = gzip_member(record(last, url, payload, target, target is not None, date), level)
                 out.write(data)
                 digest.update(data)
                 records += 1
@@ -109,10 +134,8 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date
         if out is not None:
             yield closed()
 
-    small_batches(pages.sparkSession)
-    ordered = with_record_types(pages).repartitionByRange("page_id").sortWithinPartitions("page_id", "url", "payload")
     schema = "file string, records long, bytes long, sha256 string, first_page long, last_page long"
-    ordered.mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/manifest")
+    in_order(pages).mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/manifest")
 
 
 def parsed_records(chunks):
