@@ -1,12 +1,19 @@
-"""Quality rules: per-document statistics, thresholds from mergeable quantile sketches, joined filtering.
+"""Quality rules: per-document statistics, fences learnt from mergeable quantile sketches, joined filtering.
 
 Everything is DataFrame expressions. A text is read once: its statistics are
 computed by array functions inside its own row (no word ever crosses a
 shuffle), then cut into a small table. The sketch of a metric in a group is a
-histogram over a fixed integer grid: two sketches merge by adding counts, a
-group holds at most ``GRID + 1`` counters whatever its size, and a quantile is
-off by at most one grid step. Spark adds the counts map-side, so a source with a
-third of all rows costs one counter row per task.
+log-linear histogram over integers: a value keeps its ``BITS`` leading binary
+digits, so two sketches merge by adding counts, a group holds a few thousand
+counters whatever its size, ranks are exact, a quantile is off by at most one part in 256, and
+a recomputed task counts the same. Spark adds the counts map-side, so a source
+with a third of all rows costs a few counter rows per task.
+
+A metric's fence lies ``times`` spreads from its median, on both sides where ``lower`` says so. The
+spread is the smaller of q90 - q50 and q50 - q10: junk lies on one side, and
+what is less than two fifths of a group can't widen both. Where a metric hardly
+varies (most texts have no symbol and no repeated line at all), ``slack`` is
+the least distance; :func:`slack_report` counts the groups in which it decides.
 """
 
 from __future__ import annotations
@@ -17,18 +24,27 @@ from pyspark.sql.window import Window
 
 from turnwise.llm.common import cut, let, space_words
 
-#: Largest grid value of a metric; larger values share the last cell.
-GRID = 1000
+#: Leading binary digits that a value keeps in a sketch.
+BITS = 9
 WINDOW = 8
 #: Base rule: fewest words, and the largest share of repeated words in percent.
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: A group with fewer documents takes its language's sketch, then that of all documents.
 MIN_GROUP = 100
-#: metric -> (least slack over the median, multiple of the spread), both in grid steps. The spread is the smaller
-#: of q90 - q50 and q50 - q10: junk lies above, and what is less than half of a group can't widen the second.
-FENCES = {"symbol_rate": (100, 3), "dup_line_rate": (100, 3), "word_len": (60, 4)}
+#: metric -> (least slack, multiple of the spread, whether there is a lower fence). Rates are in millionths, word_len
+#: in thousandths of a character, log_words in 256ths of a power of two. n_repeat_words has no fence of its own: nine
+#: texts in ten have none, so there is no spread to learn, and the base rule bounds it.
+FENCES = {
+    "symbol_rate": (50_000, 6, False), "dup_line_rate": (50_000, 6, False), "punct_rate": (5_000, 6, True),
+    "word_len": (100, 6, True), "log_words": (64, 6, True),
+}
 METRICS = list(FENCES)
+LOWER = [m for m, (_, _, lower) in FENCES.items() if lower]
+#: Metric columns and the bounds that a verdict reports.
+BOUNDS = [f"{m}_max" for m in METRICS] + [f"{m}_min" for m in LOWER]
+SYMBOLS = "#*$%&|<>"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _repeat_words(words: Column) -> Column:
@@ -54,7 +70,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long).
+    """``docs`` without its text, plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_punct (long).
 
     Null and empty texts have zeros everywhere.
     """
@@ -68,33 +84,40 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             _repeat_words(w).alias("n_repeat_words"),
         ),
     )
-    out = docs.select(
-        *[c for c in docs.columns if c != text],
-        of_words.alias("_w"),
-        (F.char_length(body) - F.char_length(F.regexp_replace(body, r"[#*$%&|<>]", ""))).alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
-    )
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    values = {"n_words": "_w.n_words", "word_chars": "_w.word_chars", "n_repeat_words": "_w.n_repeat_words"}
-    return out.select(
-        *[c for c in out.columns if c not in ("_w", "n_symbols", "n_dup_lines")],
-        *[F.col(values.get(n, n)).cast("long").alias(n) for n in names],
-    )
+    others = {"n_symbols": _count(body, SYMBOLS), "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), "n_punct": _count(body, PUNCTUATION)}
+    kept = [c for c in docs.columns if c != text]
+    out = docs.select(*kept, of_words.alias("_w"), *[x.alias(f"_{n}") for n, x in others.items()])
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_punct"]
+    return out.select(*kept, *[F.col(f"_{n}" if n in others else f"_w.{n}").cast("long").alias(n) for n in names])
+
+
+def _count(text: Column, characters: str) -> Column:
+    """How many of the ASCII ``characters`` a text holds."""
+    return F.octet_length(text) - F.octet_length(F.translate(text, characters, ""))
+
 
+def _digits(value: str) -> str:
+    return f"length(bin({value}))"
 
-def _on_grid(stats: DataFrame) -> DataFrame:
-    rate = lambda part, whole: F.least(F.lit(GRID), F.coalesce(F.expr(f"({part} * 1000) div nullif({whole}, 0)"), F.lit(0))).cast("long")
+
+def with_metrics(stats: DataFrame) -> DataFrame:
+    """``stats`` and its metrics, whole numbers; no words make zeros."""
+    ratio = lambda part, times, whole: F.coalesce(F.expr(f"({part} * {times}) div nullif({whole}, 0)"), F.lit(0)).cast("long")
     return stats.select(
         "*",
-        rate("n_symbols", "word_chars").alias("symbol_rate"),
-        rate("n_dup_lines", "n_words").alias("dup_line_rate"),
-        F.least(F.lit(GRID), F.coalesce(F.expr("(word_chars * 10) div nullif(n_words, 0)"), F.lit(0))).cast("long").alias("word_len"),
-    )
+        ratio("n_symbols", 1_000_000, "word_chars").alias("symbol_rate"),
+        ratio("n_dup_lines", 1_000_000, "n_words").alias("dup_line_rate"),
+        ratio("n_punct", 1_000_000, "word_chars").alias("punct_rate"),
+        ratio("word_chars", 1_000, "n_words").alias("word_len"),
+        F.when(F.col("n_words") > 0, F.expr(f"({_digits('n_words')} - 2) * 256 + shiftright(shiftleft(n_words, 8), {_digits('n_words')} - 1)"))
+        .otherwise(F.lit(0)).cast("long").alias("log_words"),
+    )
 
 
 def sketches(stats: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """One histogram row per (keys, metric, cell): the mergeable sketch. Rows of no words are left out."""
-    metric = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("cell")) for m in METRICS])).alias("m")
+    """One row per (keys, metric, cell): the mergeable sketch. Rows of no words are left out."""
+    cell = lambda m: F.expr(f"shiftleft(shiftright({m}, greatest(0, {_digits(m)} - {BITS})), greatest(0, {_digits(m)} - {BITS}))")
+    metric = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), cell(m).alias("cell")) for m in METRICS])).alias("m")
     return stats.where("n_words > 0").select(*keys, metric).groupBy(*keys, "m.metric", "m.cell").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -106,54 +129,67 @@ def quantiles(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         *by, "cell",
         F.sum("n").over(Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
         F.sum("n").over(Window.partitionBy(*by)).alias("total"),
-    )
+    )
     return running.groupBy(*by).agg(
         F.max("total").alias("total"),
-        F.min(F.when(F.col("run") * 10 >= F.col("total"), F.col("cell"))).alias("q10"),
-        F.min(F.when(F.col("run") * 10 >= F.col("total") * 5, F.col("cell"))).alias("q50"),
-        F.min(F.when(F.col("run") * 10 >= F.col("total") * 9, F.col("cell"))).alias("q90"),
+        *[F.min(F.when(F.col("run") * 10 >= F.col("total") * k, F.col("cell"))).alias(f"q{k}0") for k in (1, 5, 9)],
     )
 
 
 def thresholds(sketch: DataFrame, keys: tuple[str, str] = ("lang", "source"), min_group: int = MIN_GROUP) -> DataFrame:
-    """``keys`` and, per metric, ``<metric>_max``; small groups take the merged sketch of their first key, then of all."""
+    """``keys`` and, per metric, ``<metric>_max``, ``<metric>_min`` where it has one, and ``<metric>_slack``: whether the slack decides.
+
+    Small groups take the merged sketch of their first key, then of all.
+    """
     first = keys[0]
+    columns = BOUNDS + [f"{m}_slack" for m in METRICS]
 
     def fenced(level: tuple[str, ...]) -> DataFrame:
-        spread = F.least(F.col("q90") - F.col("q50"), F.col("q50") - F.col("q10"))
-        bound = None
-        for m, (slack, times) in FENCES.items():
-            x = F.col("q50") + F.greatest(F.lit(slack), spread * times)
-            bound = x if bound is None else F.when(F.col("metric") == m, x).otherwise(bound)
-        q = quantiles(sketch, level).withColumn("bound", bound)
-        return q.groupBy(*level).agg(
-            F.max("total").alias("total"), *[F.max(F.when(F.col("metric") == m, F.col("bound"))).alias(f"{m}_max") for m in METRICS]
-        )
+        q = quantiles(sketch, level).withColumn("spread", F.least(F.col("q90") - F.col("q50"), F.col("q50") - F.col("q10")))
+        found = []
+        for m, (slack, times, lower) in FENCES.items():
+            of = lambda x, m=m: F.max(F.when(F.col("metric") == m, x))
+            away = F.greatest(F.lit(slack), F.col("spread") * times)
+            found += [of(F.col("q50") + away).alias(f"{m}_max"), of(F.col("spread") * times < slack).alias(f"{m}_slack")]
+            found += [of(F.col("q50") - away).alias(f"{m}_min")] if lower else []
+        return q.groupBy(*level).agg(F.max("total").alias("total"), *found)
 
     own, lang, everything = fenced(keys), fenced((first,)), fenced(())
     rename = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
     joined = own.join(rename(lang, "l"), own[first].eqNullSafe(F.col(f"l_{first}")), "left").crossJoin(F.broadcast(rename(everything, "a")))  # one row
     pick = lambda c: F.when(F.col("total") >= min_group, F.col(c)).when(F.col("l_total") >= min_group, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
-    return joined.select(*keys, *[pick(f"{m}_max") for m in METRICS])
+    return joined.select(*keys, *[pick(c) for c in columns])
+
+
+def slack_report(limits: DataFrame) -> DataFrame:
+    """metric, groups, by_slack: in how many groups of :func:`thresholds` the least slack decides instead of the learnt spread."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_slack").cast("long").alias("x")) for m in METRICS])).alias("m")
+    return limits.select(each).groupBy("m.metric").agg(F.count(F.lit(1)).alias("groups"), F.sum("m.x").alias("by_slack"))
+
+
+def judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
+    """``stats`` with metrics, joined with the limits of their group: base_failed, kept and the bounds."""
+    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    rows = stats.join(limits, stats["lang"].eqNullSafe(limits["_lang"]) & stats["source"].eqNullSafe(limits["_source"]), "left")
+    base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+    out = F.lit(False)
+    for m in METRICS:
+        out = out | F.coalesce(F.col(m) > F.col(f"{m}_max"), F.lit(False))
+    for m in LOWER:
+        out = out | F.coalesce(F.col(m) < F.col(f"{m}_min"), F.lit(False))
+    return rows.withColumns({"base_failed": base, "kept": ~base & ~out})
 
 
 def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """Statistics and verdict per row of ``docs`` (doc_id, text, lang, source; other columns are ignored).
 
-    Returns doc_id, the five counts, base_failed, kept, the metrics on their
-    grid and their thresholds. Repeated rows each get their own result; a null
+    Returns doc_id, the five counts, base_failed, kept, the metrics and their
+    bounds. Repeated rows each get their own result; a null
     lang or source is a group of its own; null or empty text has zero words and
     fails the base rule; an empty table gives an empty result.
     """
-    stats = cut(_on_grid(text_statistics(docs.select("doc_id", "lang", "source", "text"))))
+    stats = cut(with_metrics(text_statistics(docs.select("doc_id", "lang", "source", "text"))))
     limits = thresholds(sketches(stats), min_group=min_group)
-    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    judged = stats.join(limits, stats["lang"].eqNullSafe(limits["_lang"]) & stats["source"].eqNullSafe(limits["_source"]), "left")
-    base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    over = F.lit(False)
-    for m in METRICS:
-        over = over | F.coalesce(F.col(m) > F.col(f"{m}_max"), F.lit(False))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & ~over).alias("kept"), *METRICS, *[f"{m}_max" for m in METRICS],
+    return judged(stats, limits).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *METRICS, *BOUNDS
     )

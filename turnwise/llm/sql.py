@@ -15,36 +15,39 @@ s AS (SELECT w.r, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN cov USING (r)),
-g AS (SELECT *, least(1000, coalesce(n_symbols * 1000 // nullif(word_chars, 0), 0))::BIGINT AS symbol_rate,
-             least(1000, coalesce(n_dup_lines * 1000 // nullif(n_words, 0), 0))::BIGINT AS dup_line_rate,
-             least(1000, coalesce(word_chars * 10 // nullif(n_words, 0), 0))::BIGINT AS word_len FROM s),
-m AS (SELECT lang, source, 'symbol_rate' AS metric, symbol_rate AS v FROM g WHERE n_words > 0
-      UNION ALL SELECT lang, source, 'dup_line_rate', dup_line_rate FROM g WHERE n_words > 0
-      UNION ALL SELECT lang, source, 'word_len', word_len FROM g WHERE n_words > 0),
-q AS (SELECT lang, source, metric, GROUPING(lang, source) AS level, count(*) AS total,
-             quantile_disc(v, 0.5) AS q50, quantile_disc(v, 0.9) AS q90
-      FROM m GROUP BY GROUPING SETS ((lang, source, metric), (lang, metric), (metric))),
-b AS (SELECT *, CASE metric WHEN 'symbol_rate' THEN q50 + greatest(100, (q90 - q50) * 3)
-                            WHEN 'dup_line_rate' THEN q50 + greatest(100, (q90 - q50) * 3)
-                            ELSE q50 + greatest(60, (q90 - q50) * 4) END AS bound FROM q),
-lim AS (SELECT o.lang, o.source, o.metric,
-               CASE WHEN o.total >= 100 THEN o.bound WHEN l.total >= 100 THEN l.bound ELSE a.bound END AS bound
+g AS (SELECT *, length(t) - length(translate(t, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', '')) AS n_punct FROM s JOIN (SELECT r, t FROM d) USING (r)),
+h AS (SELECT * EXCLUDE (t), coalesce(n_symbols * 1000000 // nullif(word_chars, 0), 0)::BIGINT AS symbol_rate,
+             coalesce(n_dup_lines * 1000000 // nullif(n_words, 0), 0)::BIGINT AS dup_line_rate,
+             coalesce(n_punct * 1000000 // nullif(word_chars, 0), 0)::BIGINT AS punct_rate,
+             coalesce(word_chars * 1000 // nullif(n_words, 0), 0)::BIGINT AS word_len,
+             CASE WHEN n_words = 0 THEN 0 ELSE (length(bin(n_words)) - 2) * 256 + ((n_words * 256) >> (length(bin(n_words)) - 1)) END::BIGINT AS log_words FROM g),
+m AS (UNPIVOT (SELECT lang, source, symbol_rate, dup_line_rate, punct_rate, word_len, log_words FROM h WHERE n_words > 0)
+      ON symbol_rate, dup_line_rate, punct_rate, word_len, log_words INTO NAME metric VALUE x),
+v AS (SELECT lang, source, metric, (x >> greatest(0, length(bin(x)) - 9)) << greatest(0, length(bin(x)) - 9) AS v FROM m),
+f(metric, slack, times) AS (VALUES ('symbol_rate', 50000, 6), ('dup_line_rate', 50000, 6), ('punct_rate', 5000, 6), ('word_len', 100, 6), ('log_words', 64, 6)),
+q AS (SELECT lang, source, metric, GROUPING(lang, source) AS level, count(*) AS total, quantile_disc(v, 0.5) AS q50,
+             least(quantile_disc(v, 0.9) - quantile_disc(v, 0.5), quantile_disc(v, 0.5) - quantile_disc(v, 0.1)) AS spread
+      FROM v GROUP BY GROUPING SETS ((lang, source, metric), (lang, metric), (metric))),
+b AS (SELECT q.*, q50 - greatest(slack, spread * times) AS low, q50 + greatest(slack, spread * times) AS high FROM q JOIN f USING (metric)),
+lim AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.total >= 100 THEN o.low WHEN l.total >= 100 THEN l.low ELSE a.low END AS low,
+               CASE WHEN o.total >= 100 THEN o.high WHEN l.total >= 100 THEN l.high ELSE a.high END AS high
         FROM (SELECT * FROM b WHERE level = 0) o
         JOIN (SELECT * FROM b WHERE level = 1) l ON o.metric = l.metric AND o.lang IS NOT DISTINCT FROM l.lang
         JOIN (SELECT * FROM b WHERE level = 3) a ON o.metric = a.metric),
-lp AS (SELECT lang, source, max(bound) FILTER (metric = 'symbol_rate') AS symbol_rate_max,
-              max(bound) FILTER (metric = 'dup_line_rate') AS dup_line_rate_max,
-              max(bound) FILTER (metric = 'word_len') AS word_len_max FROM lim GROUP BY lang, source),
-j AS (SELECT g.*, symbol_rate_max, dup_line_rate_max, word_len_max,
-             n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
-      FROM g LEFT JOIN lp ON g.lang IS NOT DISTINCT FROM lp.lang AND g.source IS NOT DISTINCT FROM lp.source),
-op1 AS (SELECT *, NOT base_failed AND NOT coalesce(symbol_rate > symbol_rate_max, false)
-                  AND NOT coalesce(dup_line_rate > dup_line_rate_max, false) AND NOT coalesce(word_len > word_len_max, false) AS kept FROM j)
+lp AS (SELECT lang, source, max(high) FILTER (metric = 'symbol_rate')::BIGINT AS symbol_rate_max, max(high) FILTER (metric = 'dup_line_rate')::BIGINT AS dup_line_rate_max,
+              max(high) FILTER (metric = 'punct_rate')::BIGINT AS punct_rate_max, max(high) FILTER (metric = 'word_len')::BIGINT AS word_len_max,
+              max(high) FILTER (metric = 'log_words')::BIGINT AS log_words_max, max(low) FILTER (metric = 'punct_rate')::BIGINT AS punct_rate_min,
+              max(low) FILTER (metric = 'word_len')::BIGINT AS word_len_min, max(low) FILTER (metric = 'log_words')::BIGINT AS log_words_min
+       FROM lim GROUP BY lang, source),
+j AS (SELECT h.*, lp.* EXCLUDE (lang, source), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+      FROM h LEFT JOIN lp ON h.lang IS NOT DISTINCT FROM lp.lang AND h.source IS NOT DISTINCT FROM lp.source),
+op1 AS (SELECT *, NOT base_failed AND coalesce(symbol_rate <= symbol_rate_max AND dup_line_rate <= dup_line_rate_max AND punct_rate BETWEEN punct_rate_min AND punct_rate_max
+                  AND word_len BETWEEN word_len_min AND word_len_max AND log_words BETWEEN log_words_min AND log_words_max, true) AS kept FROM j)
 """
 
 OP1 = f"""WITH {OP1_CTES}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, symbol_rate, dup_line_rate, word_len,
-       symbol_rate_max::BIGINT AS symbol_rate_max, dup_line_rate_max::BIGINT AS dup_line_rate_max, word_len_max::BIGINT AS word_len_max FROM op1"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, symbol_rate, dup_line_rate, punct_rate, word_len, log_words,
+       symbol_rate_max, dup_line_rate_max, punct_rate_max, word_len_max, log_words_max, punct_rate_min, word_len_min, log_words_min FROM op1"""
 
 OP2 = r"""WITH RECURSIVE
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '%(UP)s', '%(LOW)s'), '[^\x20\x09-\x0D]+') AS w FROM documents),
