@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from turnwise.functions import statistics as ST
 from turnwise.functions import text as T
 from turnwise.operators import calibration as C
 from turnwise.operators import distribution as D
@@ -153,6 +155,141 @@ def test_last_wins_and_align(spark):
     assert R.accuracy_by(spark.createDataFrame([], "correct boolean")).first().accuracy == 0.0
 
 
+def test_survivors_of_long_chains_and_cycles(spark):
+    rng = random.Random(2)
+    hop = {}
+    for size, base in ((1, 0), (2, 1000), (64, 2000), (65, 3000), (96, 4000), (130, 5000)):
+        hop |= {base + k: base + (k + 1) % size for k in range(size)}  # a cycle of each size
+        hop |= {base + 500 + k: base + 501 + k if k < 90 else base + size // 2 for k in range(91)}  # a chain into it
+    hop |= {9000 + k: 9001 + k for k in range(200)}  # and one that ends
+    links = list(hop.items())
+    rng.shuffle(links)
+
+    def end(x):
+        seen = set()
+        while x in hop and x not in seen:
+            seen.add(x)
+            x = hop[x]
+        return x
+
+    got = {r.id: r.root for r in M.survivors(spark.createDataFrame(links, "removed long, kept_by long")).collect()}
+    assert got == {x: end(x) for x in hop}
+
+
+def test_judged_clusters(spark):
+    ids = list("abcdefg")
+    replies = [
+        (1, 1, '```json\n{"clusters": [{"keep": "a", "remove": ["b", "zz", "a"]}, {"keep": "zz", "remove": ["c"]}]}\n```', ids),
+        (1, 2, 'Sure: {"clusters": [{"keep": "d", "remove": ["e"]}, {"keep": "f", "remove": []}]} done', ids),
+        (1, 3, "no json", ids), (1, 4, None, ids), (1, 5, '{"clusters": "x"}', ids), (2, 1, '{"clusters": [{"keep": "c", "remove": ["a"]}, {"keep": "g", "remove": ["e"]}]}', ids),
+    ]
+    clusters = M.parsed_clusters(spark.createDataFrame(replies, "phase int, n int, reply string, ids array<string>"))
+    assert sorted((r.phase, r.keep, r.removes) for r in clusters.collect()) == [(1, "a", ["b"]), (1, "d", ["e"]), (2, "c", ["a"]), (2, "g", ["e"])]
+    assert {r.id for r in M.merged_removals(clusters).collect()} == {"a", "b", "e"}
+
+
+def test_numbers_past_three_digits(spark):
+    df = spark.range(0, 4500, 3).select("id", F.lit("p").alias("prefix"))
+    got = {r.id: r.new_id for r in R.renumber(df, "id", F.col("prefix"), F.floor(F.col("id") / 100)).collect()}
+    assert got == {3 * k: f"p_{k + 1:03d}" for k in range(1500)}
+
+
+def test_page_data_with_any_characters(spark, tmp_path):
+    rows = [("a;b", 1), ("cost $5 \\1", 2), ("</script>", 3), ('quote " and\nline', 4), ("const DATA = [];", 5)]
+    S.inject(spark.createDataFrame(rows, "name string, n int"), "<script>const DATA = null; draw(DATA);</script>").write.text(str(tmp_path / "p"))
+    page = "\n".join(r.value for r in spark.read.text(str(tmp_path / "p")).collect())
+    assert "draw(DATA);</script>" in page and page.count("</script>") == 1
+    assert sorted((r.name, r.n) for r in S.injected(spark, str(tmp_path / "p"), "name string, n int").collect()) == sorted(rows)
+    with pytest.raises(ValueError, match="more than"):
+        S.inject(spark.range(S.PAGE_ROWS + 1), "const DATA = 1;")
+
+
+def test_a_failed_rename_keeps_the_rows():
+    class Files:
+        def __init__(self, refuse):
+            self.at, self.refuse, self.n = {"old": "rows", "new": "fewer"}, refuse, 0
+
+        def exists(self, p):
+            return p in self.at
+
+        def rename(self, a, b):
+            self.n += 1
+            if self.n == self.refuse:
+                return False
+            self.at[b] = self.at.pop(a)
+            return True
+
+        def delete(self, p, _):
+            del self.at[p]
+
+    for refuse in (1, 2):
+        fs = Files(refuse)
+        with pytest.raises(OSError, match="renamed"):
+            S.replace_folder(fs, "old", "new", "aside")
+        assert fs.at == {"old": "rows", "new": "fewer"}
+    fs = Files(0)
+    S.replace_folder(fs, "old", "new", "aside")
+    assert fs.at == {"old": "fewer"}
+
+
+def test_tail_probabilities(spark):
+    of = lambda c: spark.range(1).select(c).first()[0]
+    # tabled values
+    for x, dof, p in ((3.841459, 1, 0.05), (5.991465, 2, 0.05), (18.307038, 10, 0.05), (124.342113, 100, 0.05), (23.209251, 10, 0.01), (0.0, 3, 1.0), (5000.0, 3, 0.0)):
+        assert abs(of(ST.chi_square_tail(F.lit(x), F.lit(float(dof)))) - p) < 1e-6
+    for t, dof, p in ((12.7062047, 1, 0.05), (2.228139, 10, 0.05), (1.959964, 1e7, 0.05), (-2.763262, 28, 0.01), (0.0, 5, 1.0)):
+        assert abs(of(ST.t_tails(F.lit(t), F.lit(float(dof)))) - p) < 1e-6
+    for x, p in ((1.3581, 0.05), (1.2238, 0.1), (1.6276, 0.01)):
+        assert abs(of(ST.kolmogorov_tail(F.lit(x / 10), F.lit(200), F.lit(200))) - p) < 1e-4
+
+
+def test_principal_components(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(80, 6)) * [5, 3, 1, 1, 0.5, 0.1] + [1, 2, 3, 4, 5, 6]).astype(np.float32)
+    rows = D.principal_components(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>"), "id", "v").orderBy("id").collect()
+    c = x - x.mean(axis=0)
+    _, _, vt = np.linalg.svd(c.astype(np.float64), full_matrices=False)
+    for k in range(2):
+        w = vt[k] * np.sign(vt[k][np.abs(vt[k]).argmax()])
+        assert np.allclose([r[f"pc{k + 1}"] for r in rows], c @ w, atol=2e-5)
+
+
+def test_topics(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(4, 5)) * 20
+    x = [(i, (centres[i % 4] + rng.normal(size=5)).tolist(), "eval" if i % 4 < 3 and i % 8 < 4 or i % 4 == 0 else "synth") for i in range(200)]
+    df = spark.createDataFrame(x, "id long, v array<double>, source string")
+    assigned, found = D.topics(df, "v", k=4)
+    rows, v = assigned.orderBy("id").collect(), np.array([r[1] for r in x])
+    scaled = v / v.std(axis=0, ddof=1)
+    near = ((scaled[:, None] - np.array(found)[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert [r.topic for r in rows] == near.tolist()
+    assert all(np.allclose(found[k], scaled[near == k].mean(axis=0), atol=1e-6) for k in range(4))
+    table = D.topic_coverage(assigned).collect()
+    by = {k: [sum(n == k and r[2] == s for n, r in zip(near, x)) for s in ("eval", "synth")] for k in range(4)}  # noqa: B905
+    assert {r.topic: [r.n_eval, r.n_synth] for r in table} == by
+    held = [k for k in by if by[k][0]]
+    assert {r.coverage for r in table} == {round(sum(by[k][1] > 0 for k in held) / len(held), 6)}
+
+
+def test_similar_pairs_are_those_of_brute_force(spark):
+    rng = random.Random(8)
+    sets = {}
+    for i in range(300):
+        base = sets[rng.randrange(i)] if i and rng.random() < 0.6 else {f"t{rng.randrange(60)}" for _ in range(rng.randrange(1, 40))}
+        s = {t for t in base if rng.random() < 0.9} | {f"t{rng.randrange(60)}" for _ in range(rng.randrange(3))}
+        sets[i] = s or {"t0"}
+    for threshold in (0.5, 0.6, 0.75, 0.8):
+        members, links = M.jaccard_links(spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "id int, token string"), threshold)
+        first = {}
+        for i in sorted(sets):
+            first.setdefault(frozenset(sets[i]), i)
+        assert {r.id: r["class"] for r in members.collect()} == {i: first[frozenset(s)] for i, s in sets.items()}
+        ids = sorted(first.values())
+        want = {(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > threshold}
+        assert {(r.a, r.b) for r in links.collect()} == want and want
+
+
 def test_entry_works_without_the_optional_subpackage(tmp_path):
     import os
     import shutil

@@ -50,6 +50,12 @@ def names_leaked(text: Column, names: list[str]) -> Column:
     return F.filter(F.array(*[F.when(text.rlike(rf"(?i)\b{n}\b"), n) for n in names]), lambda x: x.isNotNull())
 
 
+def leak_reason(answer: Column) -> Column:
+    """Why a leakage judge's answer rejects: what follows LEAKED:; null where it is CLEAN or anything else."""
+    a = F.trim(answer)
+    return F.when(F.startswith(a, F.lit("LEAKED:")), F.concat(F.lit("leakage: "), F.trim(F.substr(a, F.lit(8)))))
+
+
 def json_reply(text: Column) -> Column:
     """A model reply without its code fence."""
     return F.trim(F.regexp_replace(text, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))

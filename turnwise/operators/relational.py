@@ -62,6 +62,25 @@ def history(turns: DataFrame) -> DataFrame:
     return turns.withColumn("history", F.transform(F.array_sort(F.collect_list(said).over(w)), lambda x: x["said"]))
 
 
+def sft_examples(turns: DataFrame, votes: DataFrame, prompt) -> DataFrame:
+    """voter, convo_id, turn_num, label, messages: a training example for each labelled user turn of each voter.
+
+    ``votes``: voter, convo_id, turn_num, label (null where the turn is not to be learnt). messages are ``prompt(voter)`` as
+    system, every earlier message and the turn's own text. A user turn is followed by its label, or [skipped]; an agent turn is its text, or [OK].
+    """
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    names = votes.select("voter", "convo_id").distinct()
+    each = turns.select("convo_id", "turn_num", "speaker", "utterance").join(names, "convo_id").join(votes, ["voter", "convo_id", "turn_num"], "left")
+    user = F.col("speaker") == "user"
+    said = F.when(user, F.array(message("user", F.col("utterance")), message("assistant", F.coalesce("label", F.lit("[skipped]")))))
+    said = said.otherwise(F.array(message("assistant", F.coalesce("utterance", F.lit("[OK]")))))
+    w = Window.partitionBy("voter", "convo_id").orderBy("turn_num").rowsBetween(Window.unboundedPreceding, -1)  # one conversation
+    before = F.transform(F.array_sort(F.collect_list(F.struct("turn_num", "said")).over(w)), lambda x: x["said"])
+    told = each.withColumn("said", said).withColumn("before", F.flatten(before)).where(user & F.col("label").isNotNull())
+    messages = F.concat(F.array(message("system", prompt(F.col("voter")))), "before", F.array(message("user", F.col("utterance"))))
+    return told.select("voter", "convo_id", "turn_num", "label", messages.alias("messages"))
+
+
 def patch(base: DataFrame, fixes: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Sparse overrides: a non-null field of ``fixes`` replaces that of ``base``."""
     fx = fixes.select(*keys, *[F.col(c).alias(f"_{c}") for c in fields])
@@ -75,18 +94,44 @@ def last_wins(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), ordinal).alias("r")).select(*keys, "r.*")
 
 
-def renumber(rows: DataFrame, order: str, prefix: Column) -> DataFrame:
-    """{prefix}_{position of ``order``, three digits}. The position is counted within the prefix."""
-    w = Window.partitionBy(prefix).orderBy(order)
-    return rows.withColumn("new_id", F.concat(prefix, F.lit("_"), F.lpad(F.row_number().over(w).cast("string"), 3, "0")))
+def counted(rows: DataFrame, group: list, order: str, bucket: Column) -> DataFrame:
+    """``pos`` from 1 in the order of ``order`` within each group (expressions), in two levels, so that no task orders a whole group.
+
+    ``bucket`` must not fall as ``order`` rises. Rows are counted per bucket, the small table of counts is summed up, and
+    only the rows of one bucket are ordered together.
+    """
+    keys = [f"_g{i}" for i in range(len(group))]
+    dealt = rows.withColumns({**dict(zip(keys, group, strict=True)), "_bucket": bucket})
+    sizes = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order)))
+    return own.join(sizes, [*keys, "_bucket"]).withColumn("pos", F.col("_before") + F.col("_r")).drop(*keys, "_bucket", "_n", "_r", "_before")
+
+
+def renumber(rows: DataFrame, order: str, prefix: Column, bucket: Column) -> DataFrame:
+    """{prefix}_{position of ``order`` within the prefix, at least three digits}; ``bucket`` as in :func:`counted`."""
+    digits = F.col("pos").cast("string")
+    out = counted(rows, [prefix], order, bucket)
+    return out.withColumn("new_id", F.concat(prefix, F.lit("_"), F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0")))).drop("pos")
 
 
 # -- joins ------------------------------------------------------------------
 
+#: Most names of a dimension that a plan writes out.
+MAX_VOTERS = 1000
+
 
 def align(gold: DataFrame, preds: DataFrame, voters: DataFrame) -> DataFrame:
-    """Gold x voters with predictions; a missing one is an empty list, never a missing row. ``voters`` is a small dimension."""
-    keyed = gold.crossJoin(F.broadcast(voters))
+    """Gold x voters with predictions; a missing one is an empty list, never a missing row.
+
+    Each gold row carries the list of ``voters`` (a dimension of at most MAX_VOTERS names), so nothing is cross-joined.
+    """
+    names = [r[0] for r in voters.select("voter").distinct().orderBy("voter").limit(MAX_VOTERS + 1).collect()]
+    if len(names) > MAX_VOTERS:
+        raise ValueError(f"more than {MAX_VOTERS} voters")
+    kind = voters.schema["voter"].dataType.simpleString()
+    keyed = gold.withColumn("voter", F.explode(F.array(*[F.lit(n) for n in names]).cast(f"array<{kind}>")))
     p = preds.select("voter", "convo_id", "turn_num", "detected_flows")
     return keyed.join(p, ["voter", "convo_id", "turn_num"], "left").withColumn("detected_flows", F.coalesce("detected_flows", F.array().cast("array<string>")))
 

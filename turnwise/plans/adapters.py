@@ -70,14 +70,20 @@ def calib(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item, rater 1 to 5, category, of users with at least five events."""
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, rater, category: every event is a vote on its user, raters numbered in time."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.row_number().over(w).alias("rater"))
-    r = e.where("rater <= 5").select(F.col("user_id").alias("item"), "rater", F.col("event_type").alias("category"))
-    return r.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item"))).where("n = 5").drop("n")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.row_number().over(w).alias("rater"), F.col("event_type").alias("category"))
+
+
+def raters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, rater 1 to 5, category: the votes of a user in consecutive items of five; kappa needs equal counts, so a last item of fewer is none."""
+    from pyspark.sql.window import Window
+
+    v = votes(spark, sf_dir).select(F.concat_ws(":", "item", F.expr("(rater - 1) div 5")).alias("item"), ((F.col("rater") - 1) % 5 + 1).alias("rater"), "category")
+    return v.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item"))).where("n = 5").drop("n")
 
 
 def flows(spark: SparkSession) -> DataFrame:
@@ -132,8 +138,9 @@ gold AS (SELECT * FROM turns WHERE speaker = 'user')""",
     CASE WHEN (convo_id * 3 + voter) % 29 = 0 THEN 'handle_ambiguity' END], lambda x: x IS NOT NULL) AS predicted_tools
   FROM gold, (SELECT unnest(range(5))::INTEGER AS voter))""",
     "calib": "calib AS (SELECT doc_id, (n_chars % 11) / 10::DOUBLE AS confidence, quality = 1 AS correct, lang AS domain, source AS category FROM labels JOIN documents USING (doc_id))",
-    "raters": """raters AS (SELECT item, rater, category FROM (SELECT item, rater, category, count(*) OVER (PARTITION BY item) AS n FROM (
-  SELECT user_id AS item, event_type AS category, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rater FROM events) WHERE rater <= 5) WHERE n = 5)""",
+    "votes": "votes AS (SELECT user_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rater, event_type AS category FROM events)",
+    "raters": """raters AS (SELECT item, rater, category FROM (SELECT *, count(*) OVER (PARTITION BY item) AS n FROM (
+  SELECT item || ':' || ((rater - 1) // 5) AS item, (rater - 1) % 5 + 1 AS rater, category FROM votes)) WHERE n = 5)""",
     "flows": """flows AS (SELECT 'f' || id AS name, CASE id // 3 WHEN 2 THEN 'Plan' WHEN 3 THEN 'Internal' ELSE 'i' || (id // 3) END AS intent, '{' || printf('%03X', id * 37) || '}' AS dax,
   ['f' || ((id + 1) % 12), 'f' || ((id + 5) % 12)] AS edge_flows FROM (SELECT unnest(range(12)) AS id))""",
     "tools": """tools AS (SELECT 't' || id AS name, CASE WHEN id = 7 THEN ['*'] ELSE list_transform(range(4), lambda x: 'f' || ((id * 2 + x * 5) % 12)) END AS _flows, id = 5 AS internal_component FROM (SELECT unnest(range(8)) AS id))""",
@@ -142,7 +149,7 @@ gold AS (SELECT * FROM turns WHERE speaker = 'user')""",
   'g' || (doc_id % 4) AS category, (doc_id % 2 * 2 + 1)::INTEGER AS turn_num, text AS utterance,
   list_filter([CASE WHEN n_chars % 5 <> 0 THEN 't' || (n_chars % 7) END, CASE WHEN n_chars % 3 = 0 THEN 't' || (n_chars % 4) END], lambda x: x IS NOT NULL) AS tools FROM documents)""",
 }
-_NEEDS = {"preds": ["turns"], "tool_turns": ["turns"]}
+_NEEDS = {"preds": ["turns"], "raters": ["votes"], "tool_turns": ["turns"]}
 
 
 def with_views(names: str, body: str) -> str:

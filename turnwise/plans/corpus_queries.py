@@ -33,7 +33,10 @@ def x2(spark, d):
     return D.js_distance(D.aligned(A.corpora(spark, d), "flow"))
 
 
-CHI = ", e AS (SELECT *, n_eval * sum(n_synth) OVER () / sum(n_eval) OVER () AS e FROM al WHERE n_eval > 0) SELECT round(sum((n_synth - e) ** 2 / nullif(e, 0)), 4) AS chi2, count(*) - 1 AS dof FROM e"
+CHI = """, e AS (SELECT *, n_eval * sum(n_synth) OVER () / sum(n_eval) OVER () AS e FROM al WHERE n_eval > 0),
+g AS (SELECT coalesce(sum((n_synth - e) ** 2 / nullif(e, 0)), 0) AS x, count(*) - 1 AS dof FROM e),
+gp AS (SELECT x, dof, (dof / 2 - 1) * ln(2) + lgamma(dof / 2) AS c, least(sqrt(x), sqrt(dof) + 14) / 20000 AS h FROM g)
+SELECT round(x, 4) AS chi2, dof, round(CASE WHEN dof < 1 OR x <= 0 THEN 1 ELSE greatest(0, 1 - (SELECT sum(h * exp((dof - 1) * ln((i + 0.5) * h) - ((i + 0.5) * h) ** 2 / 2 - c)) FROM (SELECT unnest(range(20000)) AS i))) END, 6)::DOUBLE AS p FROM gp"""
 
 
 @query("X3_chi_square", W("corpora", al("flow") + CHI))
@@ -95,7 +98,15 @@ def ks(keys: str, src: str) -> str:
 kg AS (SELECT {k}abs(sum(a) OVER r / nullif(sum(a) OVER e, 0) - sum(b) OVER r / nullif(sum(b) OVER e, 0)) AS gap FROM kc WINDOW e AS ({part}), r AS ({part} ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT {k}round(max(gap), 6) AS ks FROM kg{g}"""
 
 
-@query("X11_two_sample_ks", W("corpora", f", l AS (SELECT category, source, {WC} AS x FROM corpora)" + ks("", "l")))
+def ks_p(src: str) -> str:
+    """ks and p of a whole table."""
+    gap = ks("", src).removesuffix(" SELECT round(max(gap), 6) AS ks FROM kg")
+    return gap + f""", kd AS (SELECT max(gap) AS d, (SELECT count(*) FROM {src} WHERE source = 'eval') AS n, (SELECT count(*) FROM {src} WHERE source = 'synth') AS m FROM kg),
+kx AS (SELECT d, d * sqrt(n * m / nullif(n + m, 0)) AS x, n, m FROM kd)
+SELECT round(d, 6) AS ks, round(CASE WHEN n = 0 OR m = 0 OR x < 0.2 THEN 1 ELSE least(1, greatest(0, (SELECT sum(2 * CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0::DOUBLE * k * k * x * x)) FROM (SELECT unnest(range(1, 101)) AS k)))) END, 6)::DOUBLE AS p FROM kx"""
+
+
+@query("X11_two_sample_ks", W("corpora", f", l AS (SELECT category, source, {WC} AS x FROM corpora)" + ks_p("l")))
 def x11(spark, d):
     return D.ks_statistic(A.corpora(spark, d).select("source", T.word_count(F.col("utterance")).alias("x")), "x")
 
@@ -157,24 +168,13 @@ def x17(spark, d):
 
 @query("X18_pca_2d")
 def x18(spark, d):
-    """Two principal components, scaled to the grid; the sign of a component is arbitrary."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = A.table(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
-    p = PCA(k=2, inputCol="v", outputCol="p").fit(v).transform(v)
-    return p.select("vec_id", F.round(F.abs(vector_to_array("p")[0]), 6).alias("pc1"), F.round(F.abs(vector_to_array("p")[1]), 6).alias("pc2"))
+    return D.principal_components(A.table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 @query("X19_topic_coverage")
 def x19(spark, d):
-    """Share of clusters with eval rows that hold synth rows too."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = A.table(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
-    c = KMeans(k=8, seed=7, maxIter=20).fit(v).transform(v).groupBy("prediction").agg(F.count_if(F.col("vec_id") % 2 == 0).alias("a"), F.count_if(F.col("vec_id") % 2 == 1).alias("b"))
-    return c.agg(F.round(F.count_if((F.col("a") > 0) & (F.col("b") > 0)) / F.count_if(F.col("a") > 0), 6).alias("coverage"), F.count(F.lit(1)).alias("clusters"))
+    v = A.table(spark, d, "embeddings").withColumn("source", F.when(F.col("vec_id") % 2 == 0, "eval").otherwise("synth"))
+    return D.topic_coverage(D.topics(v, "embedding")[0])
 
 
 @query("X20_context_dependence", W("turns", f", w AS (SELECT domain, {WC} AS x FROM gold) SELECT domain, round(count(*) FILTER (x < 8) / count(*), 6) AS terse FROM w GROUP BY domain"))
@@ -195,7 +195,7 @@ def x22(spark, d):
     return D.js_distance(D.aligned(c, "flow", ["turn_num"]), ["turn_num"])
 
 
-@query("X23_agent_responses", W("turns", f", l AS (SELECT CASE WHEN convo_id % 2 = 0 THEN 'eval' ELSE 'synth' END AS source, {WC} AS x FROM turns WHERE speaker = 'agent')" + ks("", "l")))
+@query("X23_agent_responses", W("turns", f", l AS (SELECT CASE WHEN convo_id % 2 = 0 THEN 'eval' ELSE 'synth' END AS source, {WC} AS x FROM turns WHERE speaker = 'agent')" + ks_p("l")))
 def x23(spark, d):
     t = A.turns(spark, d).where("speaker = 'agent'").select(F.when(F.col("convo_id") % 2 == 0, "eval").otherwise("synth").alias("source"), T.word_count(F.col("utterance")).alias("x"))
     return D.ks_statistic(t, "x")
@@ -221,7 +221,7 @@ def x26(spark, d):
     return R.top_per_group(c, ["category"], [F.col("h"), F.col("convo_id")], 5).select("category", "convo_id")
 
 
-@query("X27_welch_t", W("corpora", ", s AS (SELECT avg(length(utterance)) FILTER (source = 'eval') AS me, avg(length(utterance)) FILTER (source = 'synth') AS ms, var_samp(length(utterance)) FILTER (source = 'eval') / count(*) FILTER (source = 'eval') AS a, var_samp(length(utterance)) FILTER (source = 'synth') / count(*) FILTER (source = 'synth') AS b, count(*) FILTER (source = 'eval') AS ne, count(*) FILTER (source = 'synth') AS ns FROM corpora) SELECT round((me - ms) / sqrt(a + b), 4) AS t, round((a + b) ** 2 / (a ** 2 / (ne - 1) + b ** 2 / (ns - 1)), 2) AS dof FROM s"))
+@query("X27_welch_t", W("corpora", ", s AS (SELECT avg(length(utterance)) FILTER (source = 'eval') AS me, avg(length(utterance)) FILTER (source = 'synth') AS ms, var_samp(length(utterance)) FILTER (source = 'eval') / count(*) FILTER (source = 'eval') AS a, var_samp(length(utterance)) FILTER (source = 'synth') / count(*) FILTER (source = 'synth') AS b, count(*) FILTER (source = 'eval') AS ne, count(*) FILTER (source = 'synth') AS ns FROM corpora), u AS (SELECT (me - ms) / sqrt(a + b) AS t, (a + b) ** 2 / (a ** 2 / (ne - 1) + b ** 2 / (ns - 1)) AS dof FROM s), w AS (SELECT t, dof, lgamma((dof + 1) / 2) - lgamma(dof / 2) - ln(dof * pi()) / 2 AS c, abs(t) / 20000 AS h FROM u) SELECT round(t, 4) AS t, round(dof, 2) AS dof, round(greatest(0, 1 - 2 * (SELECT sum(h * exp(c - (dof + 1) / 2 * ln(1 + ((i + 0.5) * h) ** 2 / dof))) FROM (SELECT unnest(range(20000)) AS i))), 6)::DOUBLE AS p FROM w"))
 def x27(spark, d):
     return D.welch_t(A.corpora(spark, d), F.length("utterance"))
 

@@ -254,12 +254,36 @@ def t17(spark, d):
     return M.survivors(n)
 
 
-@query("T16_semantic_dedup", "SELECT doc_id FROM documents WHERE doc_id % 7 <> 3")
+def judge_replies(spark, d):
+    """Two phases of a judge's replies on documents, phase, n, reply, ids. Phase 1 sees batches of 60 and names those of equal
+    language and n_chars % 7 one cluster; phase 2 sees what is left at n_chars % 3 = 0, by n_chars % 11. Replies are fenced, wrapped in words, or broken, and name strangers."""
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", "lang", "n_chars")
+
+    def phase(rows, number, batch, group):
+        c = rows.groupBy(batch.alias("n"), *group).agg(F.array_sort(F.collect_list("doc_id")).alias("m"))
+        c = c.where("size(m) > 1").select("n", F.col("m")[0].cast("string").alias("keep"), F.concat(F.col("m").cast("array<string>"), F.array(F.lit("nobody"))).alias("remove"))
+        told = c.groupBy("n").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("keep", "remove"))).alias("clusters"))).alias("json"))
+        shown = rows.groupBy(batch.alias("n")).agg(F.collect_list("id").alias("ids"))
+        wrapped = F.when(F.col("n") % 5 == 4, "no json").when(F.col("n") % 3 == 0, F.concat(F.lit("```json\n"), "json", F.lit("\n```"))).when(F.col("n") % 3 == 1, F.concat(F.lit("Here: "), "json", F.lit(" done"))).otherwise(F.col("json"))
+        return told.join(shown, "n").select(F.lit(number).alias("phase"), "n", wrapped.alias("reply"), "ids")
+
+    first = phase(docs, 1, F.floor(F.col("doc_id") / 60), ["lang", F.col("n_chars") % 7])
+    gone = M.merged_removals(M.parsed_clusters(first))
+    second = phase(docs.where("n_chars % 3 = 0").join(gone, "id", "left_anti"), 2, F.floor(F.col("doc_id") / 6000), [F.col("n_chars") % 11])
+    return first.unionByName(second)
+
+
+T16 = """WITH p AS (SELECT doc_id, n_chars, min(doc_id) OVER (PARTITION BY doc_id // 60, lang, n_chars % 7) AS keep, (doc_id // 60) % 5 = 4 AS broken FROM documents),
+s AS (SELECT doc_id, n_chars FROM p WHERE broken OR doc_id = keep),
+q AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY doc_id // 6000, n_chars % 11) AS keep, (doc_id // 6000) % 5 = 4 AS broken FROM s WHERE n_chars % 3 = 0)
+SELECT doc_id FROM s WHERE doc_id NOT IN (SELECT doc_id FROM q WHERE doc_id <> keep AND NOT broken)"""
+
+
+@query("T16_semantic_dedup", T16)
 def t16(spark, d):
-    """Clusters come from an external judge; here doc_id % 7 = 3 is removed in favour of its predecessor."""
-    docs = A.table(spark, d, "documents").select("doc_id")
-    removed = docs.where("doc_id % 7 = 3").select("doc_id")
-    return docs.join(removed, "doc_id", "left_anti")
+    """Judges are outside; their replies are parsed and checked, the clusters of both phases merged, and what they remove goes."""
+    gone = M.merged_removals(M.parsed_clusters(judge_replies(spark, d)))
+    return A.table(spark, d, "documents").select("doc_id").join(gone.select(F.col("id").cast("bigint").alias("doc_id")), "doc_id", "left_anti")
 
 
 # -- sampling and ordering --------------------------------------------------
@@ -428,21 +452,32 @@ def u1(spark, d):
     c.where("convo_id % 5 = 0").coalesce(1).write.mode("append").json(f"{base}/in")  # arrives twice
     for _ in range(2):
         U.run_available(spark, f"{base}/in", "convo_id bigint", f"{base}/out", f"{base}/state", lambda r: r.withColumn("even", F.col("convo_id") % 2 == 0), "convo_id")
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").select("convo_id", "even")
 
 
-@query("U2_waves", W("turns", "SELECT count(DISTINCT convo_id) AS n FROM turns"))
+@query("U2_waves", W("turns", f", {CONVOS} SELECT convo_id, category, convo_id % 5 AS wave FROM cv"))
 def u2(spark, d):
+    """Five files, a wave each, in the order of their arrival; a row of an earlier wave that comes again is not taken."""
     base = S_.scratch(spark, "waves")
-    convos(spark, d).select("convo_id").repartition(5).write.json(f"{base}/in")
-    U.run_available(spark, f"{base}/in", "convo_id bigint", f"{base}/out", f"{base}/state", lambda r: r, "convo_id", files_per_wave=1)
-    return spark.read.parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("n"))
+    c = convos(spark, d).select("convo_id", "category")
+    for part in range(5):
+        again = c.where(F.col("convo_id") % 5 == part - 1).withColumn("category", F.lit("late"))
+        c.where(F.col("convo_id") % 5 == part).unionByName(again).coalesce(1).write.mode("append").json(f"{base}/in")
+    U.run_available(spark, f"{base}/in", "convo_id bigint, category string", f"{base}/out", f"{base}/state", lambda r: r, "convo_id", files_per_wave=1)
+    return spark.read.parquet(f"{base}/out").select("convo_id", "category", "wave")
 
 
-@query("U3_retry_passes", W("turns", f", {CONVOS} SELECT convo_id, 2 AS attempt FROM cv WHERE convo_id % 4 = 1"))
+RETRY = """, {CONVOS}, a1 AS (SELECT *, (row_number() OVER (PARTITION BY domain ORDER BY convo_id) - 1) // 8 AS batch FROM cv), f1 AS (SELECT convo_id, domain FROM a1 WHERE convo_id % 4 IN (1, 2)),
+a2 AS (SELECT *, (row_number() OVER (PARTITION BY domain ORDER BY convo_id) - 1) // 4 AS batch FROM f1), f2 AS (SELECT convo_id, domain FROM a2 WHERE convo_id % 8 IN (1, 2)),
+a3 AS (SELECT *, (row_number() OVER (PARTITION BY domain ORDER BY convo_id) - 1) // 4 AS batch FROM f2)
+SELECT convo_id, 1 AS attempt, batch, true AS ok FROM a1 WHERE convo_id % 4 NOT IN (1, 2) UNION ALL SELECT convo_id, 2, batch, true FROM a2 WHERE convo_id % 8 NOT IN (1, 2) UNION ALL SELECT convo_id, 3, batch, convo_id % 16 NOT IN (1, 2) FROM a3"""
+
+
+@query("U3_retry_passes", W("turns", RETRY.replace("{CONVOS}", CONVOS)))
 def u3(spark, d):
-    r = convos(spark, d).select("convo_id", F.lit(1).alias("attempt"), (F.col("convo_id") % 4 != 1).alias("ok"))
-    return U.next_attempts(r).select("convo_id", "attempt")
+    """What fails goes into half-sized batches, twice at most; the evaluator stands for a provider that fails less often each time."""
+    ok = lambda attempt: ~(F.col("convo_id") % F.pow(F.lit(2), attempt + 1)).isin(1, 2)
+    return U.retried(convos(spark, d).select("convo_id", "domain"), ok, "domain", "convo_id", 8).select("convo_id", "attempt", "batch", "ok")
 
 
 @query("U4_gated_retry", W("turns", f", {CONVOS} SELECT convo_id, CASE WHEN convo_id % 4 <> 1 THEN 'ok' WHEN convo_id % 3 + 1 >= 3 THEN 'warn' ELSE 'retry' END AS verdict FROM cv"))
@@ -493,10 +528,23 @@ def v32(spark, d):
     return scored(spark, d).select("voter", *TURN, F.when(kind, by_row["ambiguous"]()).otherwise(by_row["clear"]()).cast("double").alias("reward"))
 
 
-@query("U11_sft_labels", S("SELECT voter, count(*) AS n FROM scored WHERE correct AND len(detected_flows) = 1 GROUP BY voter"))
+SFT = """, ok AS (SELECT voter, convo_id, turn_num, '{"flows":["' || detected_flows[1] || '"]}' AS label FROM scored WHERE correct AND len(detected_flows) = 1),
+v AS (SELECT DISTINCT voter FROM preds),
+said AS (SELECT v.voter, t.convo_id, t.turn_num, label, speaker, utterance, CASE WHEN speaker = 'user' THEN 'user: ' || utterance || chr(10) || 'assistant: ' || coalesce(label, '[skipped]') ELSE 'assistant: ' || utterance END AS said
+  FROM turns t CROSS JOIN v LEFT JOIN ok ON ok.voter = v.voter AND ok.convo_id = t.convo_id AND ok.turn_num = t.turn_num AND speaker = 'user'),
+h AS (SELECT *, string_agg(said, chr(10)) OVER (PARTITION BY voter, convo_id ORDER BY turn_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM said)
+SELECT voter, convo_id, turn_num, label, 'system: flows of ' || voter || coalesce(chr(10) || before, '') || chr(10) || 'user: ' || utterance AS dialogue FROM h WHERE label IS NOT NULL"""
+
+
+@query("U11_sft_labels", S(SFT))
 def u11(spark, d):
+    """Examples of turns on which the ensemble was right and sure, with the whole history; other turns stay in it as [skipped]."""
     s = scored(spark, d).withColumn("confidence", F.when(F.size("detected_flows") > 0, 1 / F.size("detected_flows")).otherwise(0.0))
-    return s.where("correct AND confidence >= 0.7").groupBy("voter").agg(F.count(F.lit(1)).alias("n"))
+    label = F.to_json(F.struct(F.col("detected_flows").alias("flows")))
+    votes = s.select("voter", *TURN, F.when(F.col("correct") & (F.col("confidence") >= 0.7), label).alias("label"))
+    x = R.sft_examples(A.turns(spark, d), votes, lambda voter: F.concat(F.lit("flows of "), voter.cast("string")))
+    dialogue = F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n")
+    return x.select("voter", *TURN, "label", dialogue.alias("dialogue"))
 
 
 @query("U12_trajectory_cleaning", W("turns", "SELECT convo_id, sum(CASE WHEN turn_num % 3 = 0 THEN 0 ELSE length(utterance) END)::BIGINT AS chars FROM turns GROUP BY convo_id"))
@@ -506,12 +554,12 @@ def u12(spark, d):
     return m.select("convo_id", F.aggregate(clean, F.lit(0).cast("long"), lambda a, x: a + F.length(x["content"])).alias("chars"))
 
 
-@query("U14_backfill", W("turns", f", {CONVOS} SELECT category, count(*) AS n FROM cv GROUP BY category"))
+@query("U14_backfill", W("turns", f", {CONVOS}, k AS (SELECT category, convo_id FROM cv WHERE convo_id % 5 <> 2), t AS (SELECT category, count(*) AS n FROM cv GROUP BY category), h AS (SELECT category, count(*) AS have FROM k GROUP BY category), x AS (SELECT category, convo_id, row_number() OVER (PARTITION BY category ORDER BY convo_id) AS r FROM (SELECT category, convo_id + 1000000 AS convo_id FROM cv)) SELECT category, convo_id, 'survivor' AS origin FROM k UNION ALL SELECT category, convo_id, 'backfill' FROM x JOIN t USING (category) LEFT JOIN h USING (category) WHERE r <= n - coalesce(have, 0)"))
 def u14(spark, d):
-    c = convos(spark, d)
-    removed = c.where("convo_id % 5 = 2").select("convo_id")
-    new = c.where("convo_id % 5 = 2").withColumn("convo_id", F.col("convo_id") + 1_000_000)
-    return c.join(removed, "convo_id", "left_anti").unionByName(new).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    """Each category gets back the count that it had before dedup, from newly generated rows."""
+    c = convos(spark, d).select("category", "convo_id")
+    new = c.withColumn("convo_id", F.col("convo_id") + 1_000_000)
+    return M.backfilled(c.where("convo_id % 5 <> 2"), new, c.groupBy("category").agg(F.count(F.lit(1)).alias("n")), "category", "convo_id")
 
 
 @query("U15_backfill_column", W("turns", "SELECT convo_id, turn_num, 'tool' || ((row_number() OVER (PARTITION BY flow ORDER BY convo_id, turn_num) - 1) % 4) AS tool FROM gold"))
@@ -519,12 +567,17 @@ def u15(spark, d):
     return O.cursor(A.gold(spark, d), "flow", [F.col("convo_id"), F.col("turn_num")], F.lit(1), 4).select(*TURN, F.concat(F.lit("tool"), F.col("cursor").cast("string")).alias("tool"))
 
 
-@query("U16_leakage_gate", "SELECT doc_id, regexp_matches(text, '(?i)\\bidiot\\b') OR doc_id % 11 = 0 AS leaked FROM documents")
+ANSWER = "CASE WHEN convo_id % 11 = 0 THEN '  LEAKED:  names ' || flow || ' ' WHEN convo_id % 11 = 1 THEN 'not sure' WHEN convo_id % 11 = 2 THEN 'leaked: x' ELSE 'CLEAN' END"
+
+
+@query("U16_leakage_gate", W("turns", f", a AS (SELECT convo_id, turn_num, utterance, flow, trim({ANSWER}) AS answer FROM gold), r AS (SELECT *, CASE WHEN starts_with(answer, 'LEAKED:') THEN 'leakage: ' || trim(substr(answer, 8)) END AS judged, regexp_matches(utterance, '(?i)\\b' || flow || '\\b') AS named FROM a) SELECT convo_id, turn_num, judged IS NULL AND NOT named AS passed, concat_ws('; ', judged, CASE WHEN named THEN 'name: ' || flow END) AS reasons FROM r"))
 def u16(spark, d):
-    """The model's verdict is an input column, here doc_id % 11 = 0; it is combined with the native check."""
-    verdicts = A.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 11 == 0).alias("judged"))
-    native = A.table(spark, d, "documents").select("doc_id", F.col("text").rlike(r"(?i)\bidiot\b").alias("found"))
-    return native.join(verdicts, "doc_id").select("doc_id", (F.col("found") | F.col("judged")).alias("leaked"))
+    """The judge's answers come as text; only LEAKED: rejects, and the label's own name in the text does too."""
+    g = A.gold(spark, d).select(*TURN, "utterance", "flow", F.expr(ANSWER.replace("' || flow || '", "', flow, '").replace("THEN '  LEAKED", "THEN concat('  LEAKED").replace(", ' ' WHEN", ", ' ') WHEN")).alias("answer"))
+    judged = T.leak_reason(F.col("answer"))
+    named = F.expr(r"utterance RLIKE concat('(?i)\\b', flow, '\\b')")
+    reasons = F.concat_ws("; ", judged, F.when(named, F.concat(F.lit("name: "), "flow")))
+    return g.select(*TURN, (judged.isNull() & ~named).alias("passed"), reasons.alias("reasons"))
 
 
 # -- set operations ---------------------------------------------------------
@@ -562,8 +615,8 @@ def s18(spark, d):
 
 @query("U6_parallel_conversations", W("turns", "SELECT convo_id, count(*) AS n, max(length(utterance))::BIGINT AS longest FROM turns GROUP BY convo_id"))
 def u6(spark, d):
-    """One task slot a partition instead of one thread a conversation."""
-    t = A.turns(spark, d).repartition(8, "convo_id")
+    """One task slot a partition instead of one thread a conversation; Spark chooses how many."""
+    t = A.turns(spark, d)
     return t.groupBy("convo_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("utterance")).cast("long").alias("longest"))
 
 

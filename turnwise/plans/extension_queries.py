@@ -46,9 +46,11 @@ def cube(spark, d):
     return A.table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@query("EXT_customer_revenue", "SELECT n_name, count(DISTINCT o_orderkey) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY n_name")
+@query("EXT_customer_revenue", "SELECT n_name, count(DISTINCT o_orderkey) AS orders, sum(round(l_extendedprice * 100)::BIGINT * (100 - round(l_discount * 100)::BIGINT))::BIGINT AS revenue_e4 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY n_name")
 def revenue(spark, d):
     t = lambda n: A.table(spark, d, n)
     j = t("lineitem").where("l_returnflag = 'R'").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     j = j.join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
-    return j.groupBy("n_name").agg(F.count_distinct("o_orderkey").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    # in ten-thousandths, so that sums are exact whatever their order
+    return j.groupBy("n_name").agg(F.count_distinct("o_orderkey").alias("orders"), F.sum(cents("l_extendedprice") * (100 - cents("l_discount"))).alias("revenue_e4"))

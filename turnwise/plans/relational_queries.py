@@ -131,9 +131,9 @@ def p17(spark, d):
     return v.select("s", F.explode(F.when(F.contains("s", F.lit("-")), F.sequence(F.element_at(ends, 1), F.element_at(ends, -1))).otherwise(listed)).alias("seed"))
 
 
-@query("P18_renumber", W("turns", "SELECT convo_id, domain || '_' || lpad(row_number() OVER (PARTITION BY domain ORDER BY convo_id)::VARCHAR, 3, '0') AS new_id FROM (SELECT DISTINCT convo_id, domain FROM turns)"))
+@query("P18_renumber", W("turns", "SELECT convo_id, domain || '_' || printf('%03d', row_number() OVER (PARTITION BY domain ORDER BY convo_id)) AS new_id FROM (SELECT DISTINCT convo_id, domain FROM turns)"))
 def p18(spark, d):
-    return R.renumber(A.turns(spark, d).select("convo_id", "domain").distinct(), "convo_id", F.col("domain")).select("convo_id", "new_id")
+    return R.renumber(A.turns(spark, d).select("convo_id", "domain").distinct(), "convo_id", F.col("domain"), F.floor(F.col("convo_id") / 1000)).select("convo_id", "new_id")
 
 
 @query("P19_answer_set", W("preds", "SELECT array_to_string(list_sort(list_distinct(detected_flows)), '|') AS answer, count(*) AS n FROM preds GROUP BY ALL"))

@@ -46,14 +46,14 @@ def v3(spark, d):
     return V.set_vote(scored(spark, d), TURN)
 
 
-@query("V4_weighted_scalar_vote", W("raters", ", c AS (SELECT item, category AS answer, sum(rater)::DOUBLE AS w, min(rater) AS first FROM raters GROUP BY ALL) SELECT item, max_by(answer, w * 100 - first) AS answer, round(max(w) / sum(w), 4) AS confidence FROM c GROUP BY item"))
+@query("V4_weighted_scalar_vote", W("votes", ", c AS (SELECT item, category AS answer, sum(rater)::DOUBLE AS w, min(rater) AS first FROM votes GROUP BY ALL) SELECT item, max_by(answer, (w, -first)) AS answer, round(max(w) / sum(w), 4) AS confidence FROM c GROUP BY item"))
 def v4(spark, d):
-    return V.scalar_vote(A.raters(spark, d), ["item"], "category", "rater", F.col("rater"))
+    return V.scalar_vote(A.votes(spark, d), ["item"], "category", "rater", F.col("rater"))
 
 
-@query("V5_scalar_majority", W("raters", ", c AS (SELECT item, category AS answer, count(*)::DOUBLE AS w, min(rater) AS first FROM raters GROUP BY ALL) SELECT item, max_by(answer, w * 100 - first) AS answer, round(max(w) / sum(w), 4) AS confidence FROM c GROUP BY item"))
+@query("V5_scalar_majority", W("votes", ", c AS (SELECT item, category AS answer, count(*)::DOUBLE AS w, min(rater) AS first FROM votes GROUP BY ALL) SELECT item, max_by(answer, (w, -first)) AS answer, round(max(w) / sum(w), 4) AS confidence FROM c GROUP BY item"))
 def v5(spark, d):
-    return V.scalar_vote(A.raters(spark, d), ["item"], "category", "rater")
+    return V.scalar_vote(A.votes(spark, d), ["item"], "category", "rater")
 
 
 @query("V6_element_majority", W("tool_turns", "SELECT convo_id, turn_num, item, count(*) AS votes FROM (SELECT convo_id, turn_num, unnest(list_distinct(predicted_tools)) AS item FROM tool_turns) GROUP BY ALL HAVING count(*) >= 3"))

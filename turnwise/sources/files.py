@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,14 @@ CORRUPT = "_corrupt_record"
 
 
 def checkpoints(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that the cluster shares: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; on a cluster that is an error."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = base or "file://" + tempfile.mkdtemp(prefix="turnwise-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
     return base
 
 
@@ -66,23 +70,39 @@ def markdown_rows(lines: DataFrame, order: str = "n") -> DataFrame:
     return carried.select("doc", "intent", F.get(cells, F.lit(1)).alias("flow"), F.get(cells, F.lit(2)).alias("description")).where("flow <> 'Flow'")
 
 
+def _moved(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
 def delete_keys(spark: SparkSession, path: str, ids: DataFrame, key: str, staging: str) -> int:
     """Rewrites a JSON folder without the rows of ``ids``: to ``staging``, then by renaming. Returns the rows left.
 
-    A failure before the rename leaves the old folder as it was.
+    The old folder is deleted only once the new one stands in its place; a
+    rename that fails leaves, or brings back, the old folder and raises.
     """
     rows = spark.read.json(path)
     rows.join(ids.select(key), key, "left_anti").write.mode("overwrite").json(staging)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    old, new = hadoop(path), hadoop(staging)
+    old, new, aside = hadoop(path), hadoop(staging), hadoop(f"{path}.old")
     fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    aside = hadoop(f"{path}.old")
-    fs.rename(old, aside)
-    fs.rename(new, old)
-    fs.delete(aside, True)
+    replace_folder(fs, old, new, aside)
     return spark.read.json(path).count()
 
 
+def replace_folder(fs, old, new, aside) -> None:
+    """``new`` takes the place of ``old``, which waits at ``aside`` until that has worked."""
+    if fs.exists(aside):
+        raise OSError(f"{aside} is left from a replacement that did not end")
+    _moved(fs, old, aside)
+    try:
+        _moved(fs, new, old)
+    except Exception:
+        _moved(fs, aside, old)
+        raise
+    fs.delete(aside, True)
+
+
 def category_rank(category: Column) -> Column:
     order = ["same_flow", "switch_flow", "ambiguous_first", "ambiguous_second"]
     at = F.array_position(F.array(*[F.lit(c) for c in order]), category)
@@ -119,15 +139,31 @@ def chat_examples(history: DataFrame) -> DataFrame:
     return history.withColumn("messages", F.concat(said, last))
 
 
+#: Most rows that go into a page.
+PAGE_ROWS = 10_000
+_DATA = "const DATA = "
+
+
 def inject(rows: DataFrame, template: str) -> DataFrame:
-    """One row, value: ``template`` with the rows (a small result) as ``const DATA = [...];``."""
+    """One row, value: ``template`` with the rows as ``const DATA = [...];`` on a line of its own, in place of its own ``const DATA = ...;``.
+
+    For results of at most PAGE_ROWS rows; more raise an error. JSON has no line
+    feeds, and ``<`` is written as an escape, so no value ends the line or the script.
+    """
+    found = re.search(r"const DATA = [^\n]*?;", template)
+    if not found:
+        raise ValueError("the template has no const DATA = ...;")
+    if rows.limit(PAGE_ROWS + 1).count() > PAGE_ROWS:
+        raise ValueError(f"more than {PAGE_ROWS} rows for a page")
+    before, after = template[: found.start()], template[found.end() :]
     data = rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*rows.columns)))).alias("data"))
-    return data.select(F.regexp_replace(F.lit(template), F.lit(r"const DATA = [^;]*;"), F.concat(F.lit("const DATA = "), "data", F.lit(";"))).alias("value"))
+    return data.select(F.concat(F.lit(f"{before}\n{_DATA}"), F.replace("data", F.lit("<"), F.lit("\\u003c")), F.lit(f";\n{after}")).alias("value"))
 
 
 def injected(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    page = spark.read.text(path).select(F.regexp_extract("value", r"const DATA = ([^;]*);", 1).alias("data")).where("data <> ''")
-    return page.select(F.inline(F.from_json("data", f"array<struct<{schema.replace(' ', ': ').replace(',:', ',')}>>")))
+    """The rows of a page that :func:`inject` made."""
+    line = spark.read.text(path).where(F.col("value").startswith(_DATA)).select(F.expr(f"substring(value, {len(_DATA) + 1}, length(value) - {len(_DATA) + 1})").alias("data"))
+    return line.select(F.inline(F.from_json("data", f"array<struct<{schema.replace(' ', ': ').replace(',:', ',')}>>")))
 
 
 def markdown_table(rows: DataFrame) -> DataFrame:

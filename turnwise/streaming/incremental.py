@@ -2,37 +2,61 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def run_available(
     spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], key: str, files_per_wave: int = 2
 ) -> None:
-    """Processes what has arrived in ``source`` (JSON lines), in waves of files, and appends it to ``sink`` (Parquet).
+    """Processes what has arrived in ``source`` (JSON lines), in waves of files, and appends it to ``sink`` (Parquet, a folder a wave).
 
-    Keys that the sink already holds are left out by an anti-join, so a rerun or a repeated wave adds nothing; the
-    checkpoint remembers the files. Ends when nothing is left.
+    Of rows of one key the first wave's stands, and within a wave the smallest
+    row. Keys that other waves have written are left out by an anti-join that reads the key
+    column alone; a wave that is repeated after a failure replaces its own
+    folder. The checkpoint remembers the files. Ends when nothing is left. Rows in the sink have ``wave``, the number of theirs.
     """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:8]  # another checkpoint counts its waves anew
 
     def wave(rows: DataFrame, wave_id: int) -> None:
         session = rows.sparkSession
-        new = transform(rows).dropDuplicates([key])
+        made = transform(rows)
+        rest = [c for c in made.columns if c != key]
+        new = made.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*") if rest else made.distinct()
+        own = f"{run}-{wave_id}"
         try:
-            done = session.read.parquet(sink).select(key)
-            new = new.join(done, key, "left_anti")
+            new = new.join(session.read.parquet(sink).where(F.col("run") != own).select(key), key, "left_anti")
         except Exception as e:  # the first wave has no sink yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        new.write.mode("append").parquet(sink)
+        new.withColumn("wave", F.lit(wave_id).cast("long")).write.mode("overwrite").parquet(f"{sink}/run={own}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_wave).json(source)
     q = stream.writeStream.foreachBatch(wave).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
+def retried(rows: DataFrame, evaluate: Callable[[Column], Column], lane: str, key: str, batch_size: int, passes: int = 2) -> DataFrame:
+    """``rows`` with ok, attempt and batch: what fails is batched anew, in half-sized batches of its lane, and evaluated again, ``passes`` times.
+
+    ``evaluate`` gives a Column of the attempt number: whether a row succeeds then. Attempt 1
+    is in batches of ``batch_size``; every row keeps the batch of its last attempt.
+    """
+    left, done = rows, None
+    for attempt in range(1, passes + 2):
+        size = batch_size if attempt == 1 else max(1, batch_size // 2)
+        at = F.row_number().over(Window.partitionBy(lane).orderBy(key)) - 1
+        tried = left.withColumns({"attempt": F.lit(attempt), "batch": F.floor(at / size), "ok": evaluate(F.lit(attempt))})
+        final = tried if attempt == passes + 1 else tried.where("ok")
+        done = final if done is None else done.unionByName(final)
+        left = tried.where(~F.col("ok")).drop("attempt", "batch", "ok")
+    return done
+
+
 def next_attempts(results: DataFrame, attempts: int = 3) -> DataFrame:
     """Rows that failed and may be tried again, with their next attempt number."""
     return results.where(~F.col("ok") & (F.col("attempt") < attempts)).withColumn("attempt", F.col("attempt") + 1)
