@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnwise.llm import fm
+from turnwise.llm import near_dedup as near_dedup_module
 from turnwise.llm import quality_classifier as classifier_module
 from turnwise.llm import toxicity as toxicity_module
 from turnwise.llm.bpe import Encoder, tokenizer_path
@@ -46,6 +47,8 @@ def documents():
     rows += [(10, " ".join(words_of(rng, 6000)) + " end"), (11, "a b c d e f g h " * 9), (12, "# * $ % & | < > " * 12)]
     rows += [(None, "a <|endoftext|> b"), (61, "<|endoftext|><|endoftext|>x")]
     rows += [(13, "same line here\n" * 30 + " ".join(words_of(rng, 50))), (None, " ".join(base)), (None, "nobody else has this"), (14, "twice"), (14, "twice")]
+    other = " ".join(words_of(rng, 90))
+    rows += [(62, "first text of two"), (64, "first text of two"), (64, other), (63, other + " tail"), (65, other), (65, "third of them"), (66, "third of them")]
     for k in range(15, 60):
         t = list(base) if k % 3 == 0 else words_of(rng, rng.randrange(1, 80))
         for _ in range(k % 7):
@@ -179,7 +182,9 @@ def test_near_dedup(spark, documents):
     assert got == want
 
 
-def test_near_dedup_family_without_a_leader(spark):
+@pytest.mark.parametrize("block", [2048, 16, 3])
+def test_near_dedup_family_without_a_leader(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup_module, "BLOCK", block)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(200)]
     rows = []

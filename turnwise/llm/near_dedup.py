@@ -13,12 +13,16 @@
 4. Pairs are verified on the full sets of both texts; components of verified
    links are found by alternating large-star and small-star steps.
 5. What is left are bucket mates that are in different components and of which
-   neither led. Sketches, compared in blocks, join components with a pair whose
-   estimate reaches ESTIMATE to families; in a family, whose members move once, all
-   pairs of texts from different components are compared on their full sets, in
-   blocks again. Both steps return one row for each union, not for each pair. So no link
-   between two texts that share a bucket is lost. With 56 bands of 5, two texts
-   at similarity 0.75 miss each other with a probability of 2.5e-7; higher ones less.
+   neither led. In buckets where more than BLOCK of them are outside the largest component,
+   mates are dealt anew to the buckets of each pair of bands. Then sketches are compared across
+   components, and components with a pair whose
+   estimate reaches ESTIMATE are joined to families; in a family, whose members move once,
+   texts of different components are compared on their full sets. Both
+   comparisons go by blocks; rows of the largest component meet the others only,
+   so what is copied grows with the others, and each returns one row for each union, not for each pair. With 56
+   bands of 5, two texts at similarity 0.75 share no band with a probability of
+   2.5e-7, and less than two, which such large buckets ask for, with one of 4.8e-6; an estimate of theirs
+   falls short of ESTIMATE with one of 3e-7 where no chain of other texts links them.
 
 No step gathers a bucket, a group or a component in one task or on the driver.
 """
@@ -26,13 +30,14 @@ No step gathers a bucket, a group or a component in one task or on the driver.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import bounded_broadcast, cut
+from turnwise.llm.common import bounded_broadcast, cut, sliced
 
 SHINGLE = 5
 PERCENT = 75
@@ -137,16 +142,10 @@ def _sketch_rows(batches):
 
 
 def _band_rows(batches):
-    powers = [_constant(1000 + k) | np.uint64(1) for k in range(ROWS)]
-    for b in batches:
-        for first in range(0, len(b), 2048):
-            part = b.slice(first, 2048)
-            s = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.zeros(s.shape[:2], np.uint64) + np.arange(BANDS, dtype=np.uint64)
-            for k in range(ROWS):
-                key = _mix(key * powers[k] + s[:, :, k])
-            ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], ["key", "id"])
+    for part in sliced(batches, 2048):
+        keys = _keys(part.column("sketch").to_pylist())
+        ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], ["key", "id"])
 
 
 def _linked(batches):
@@ -206,9 +205,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _sides(key, table):
-    """The two blocks of a group; twice the same one where a block meets itself."""
+    """The two blocks of a group, the smaller first; twice the same one where a block meets itself."""
     left = table.filter(pa.compute.equal(table.column("side"), 0))
-    return left, table.filter(pa.compute.equal(table.column("side"), 1)) if key[1].as_py() != key[2].as_py() else left
+    if key[1].as_py() == key[2].as_py():
+        return left, left
+    right = table.filter(pa.compute.equal(table.column("side"), 1))
+    return (left, right) if len(left) <= len(right) else (right, left)
 
 
 def _joined(left, right, near):
@@ -258,41 +260,87 @@ def _linked_in_block(key, table):
     return _joined(left, right, near)
 
 
-def in_blocks(rows: DataFrame, group: str, blocks: DataFrame, function) -> DataFrame:
-    """``function`` on each pair of blocks of each group. ``blocks``: group, blocks; ``rows``: group, id, component, one binary column."""
-    dealt = rows.join(blocks, group)
-    own = F.pmod(F.xxhash64("id", group), F.col("blocks")).cast("int")
-    spread = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.drop("blocks").withColumns(
-        {"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}
-    )
-    return spread.drop("own", "other").groupBy(group, "i", "j").applyInArrow(function, "a long, b long").distinct()
+def in_blocks(rows: DataFrame, group: str, function, weight: Column | None = None) -> DataFrame:
+    """``function`` on pairs of blocks of each group, (a, b) of each union: every two rows of different components meet in one.
+
+    ``rows``: group, id, component, one binary column. Blocks hold rows of a total ``weight`` of about one. Rows of
+    a group's largest component have blocks of their own, which meet the others' blocks but not each other.
+    """
+    w = F.sum(F.lit(1.0 / BLOCK) if weight is None else weight)
+    sizes = rows.groupBy(group, "component").agg(w.alias("w"))
+    sizes = sizes.groupBy(group).agg(F.max(F.struct("w", F.col("component").alias("c"))).alias("most"), F.sum("w").alias("w"))
+    blocks = lambda x: F.greatest(F.lit(1), F.ceil(x - 1e-9)).cast("int")
+    sizes = sizes.select(group, F.col("most.c").alias("_most"), blocks(F.col("most.w")).alias("_p"), blocks(F.col("w") - F.col("most.w")).alias("_q"))
+    dealt = rows.join(sizes, group).withColumn("_in", F.col("component") == F.col("_most"))
+    at = lambda n: F.pmod(F.xxhash64("id", group), F.col(n)).cast("int")
+    dealt = dealt.withColumn("_own", F.when(F.col("_in"), at("_p")).otherwise(F.col("_p") + at("_q")))
+    first = F.when(F.col("_in"), F.col("_p")).otherwise(F.lit(0))
+    spread = dealt.withColumn("_other", F.explode(F.sequence(first, F.col("_p") + F.col("_q") - 1)))
+    spread = spread.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other"), "side": (F.col("_own") > F.col("_other")).cast("int")})
+    return spread.drop("_most", "_p", "_q", "_in", "_own", "_other").groupBy(group, "i", "j").applyInArrow(function, "a long, b long").distinct()
+
+
+def _keys(sketches: list[bytes]) -> np.ndarray:
+    """The bucket key of each band of each sketch."""
+    powers = [_constant(1000 + k) | np.uint64(1) for k in range(ROWS)]
+    s = np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.zeros(s.shape[:2], np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        key = _mix(key * powers[k] + s[:, :, k])
+    return key
+
+
+def _second_keys(batches):
+    """Each row of a bucket anew, with the key of the bucket and each later band."""
+    for part in sliced(batches, 2048):
+        keys, own = _keys(part.column("sketch").to_pylist()), part.column("key").to_numpy().view(np.uint64)
+        row, band = np.nonzero((keys == own[:, None]).cumsum(axis=1) - (keys == own[:, None]))  # after the band of the bucket
+        second = _mix(own[row] + _mix(keys[row, band] ^ _constant(77)))
+        yield pa.RecordBatch.from_arrays([pa.array(second.view(np.int64)), part.column("id").take(pa.array(row)), part.column("component").take(pa.array(row))], ["key", "id", "component"])
+
+
+def mixed(mates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``mates`` (key, id, component), those in buckets of several components: in buckets of which at most BLOCK are
+    outside the largest component, and in the others."""
+    sizes = mates.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    others = sizes.groupBy("key").agg((F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    kept = cut(mates.join(others, "key"))
+    side = lambda c: kept.where(c).select("key", "id", "component")
+    return side(F.col("others") <= BLOCK), side(F.col("others") > BLOCK)
 
 
 def _set_rows(batches):
     hashes = WordHashes()
-    for b in batches:
+    for b in sliced(batches):
         sets = [shingle_set(x.as_py(), hashes).tobytes() for x in b.column("text")]
         same = [hashlib.blake2b(s, digest_size=16).digest() == m for s, m in zip(sets, b.column("mark").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"]).filter(pa.array(same))
-
-
-def residual_links(bands: DataFrame, leaders: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Step 5: links (a, b) between components, of bucket mates of which neither led."""
-    mates = bands.join(leaders.where("members > 2"), "key").where("id <> lead")
-    mates = cut(mates.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-    split = mates.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
-    open_ = cut(mates.join(split.select("key"), "key"))
-    blocks = split.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    alike = cut(in_blocks(open_.join(nodes.select("id", "sketch"), "id"), "key", blocks, _alike_in_block))
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(sets, pa.binary())], ["id", "mark", "shingles"]).filter(pa.array(same))
+
+
+def residual_links(mates: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Step 5: links (a, b) between components, of bucket ``mates`` (key, id) of which neither led."""
+    sketch = nodes.select("id", "sketch")
+    few, many = mixed(mates.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+    open_ = few
+    if many.limit(1).count():
+        second = many.join(sketch, "id").select("key", "id", "component", "sketch").mapInArrow(_second_keys, "key long, id long, component long")
+        open_ = few.unionByName(reduce(DataFrame.unionByName, mixed(second)))
+    alike = cut(in_blocks(open_.join(sketch, "id"), "key", _alike_in_block))
     family = components(alike).select(F.col("id").alias("component"), F.col("component").alias("family"))
     members = cut(open_.select("id", "component").distinct().join(family, "component").join(nodes.select("id", "mark", "n_shingles"), "id"))
     wanted = bounded_broadcast(members.select("id", "mark"), F.lit(32))
-    sets = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").mapInArrow(_set_rows, "id long, shingles binary")
-    sets = sets.groupBy("id").agg(F.min("shingles").alias("shingles"))
-    size = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    blocks = size.select("family", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    return cut(in_blocks(members.select("family", "id", "component").join(sets, "id"), "family", blocks, _linked_in_block))
+    sets = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").mapInArrow(_set_rows, "id long, mark binary, shingles binary")
+    sets = sets.groupBy("id", "mark").agg(F.min("shingles").alias("shingles"))
+    rows = members.select("family", "id", "mark", "component").join(sets, ["id", "mark"]).drop("mark")
+    weight = F.lit(1.0 / BLOCK) + F.octet_length("shingles") / (8.0 * BLOCK_SHINGLES)
+    return cut(in_blocks(rows, "family", _linked_in_block, weight))
+
+
+def same_id_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of each doc_id that comes with several texts. ``rows``: doc_id, mark."""
+    several = rows.groupBy("doc_id").agg(F.min("mark").alias("x"), F.max("mark").alias("y")).where("x <> y").select("doc_id")
+    each = rows.join(several, "doc_id").join(nodes.select("mark", "id"), "mark").select("doc_id", "id").distinct()
+    return each.join(each.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a <> id").select("a", F.col("id").alias("b"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -310,10 +358,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     )
     bands = nodes.select("id", "sketch").mapInArrow(_band_rows, "key long, id long")
     leaders = cut(bands.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1"))
-    pairs = cut(bands.join(leaders, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    links = verified(pairs, nodes, docs)
+    mates = cut(bands.join(leaders, "key").where("id <> lead").select("key", "id", "lead", "members"))
+    pairs = cut(mates.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    links = verified(pairs, nodes, docs).unionByName(same_id_links(rows.where("n_shingles > 0 and doc_id is not null"), nodes))
     found = cut(components(links))
-    late = residual_links(bands, leaders, nodes, found, docs)
+    late = residual_links(mates.where("members > 2").select("key", "id"), nodes, found, docs)
     if late.limit(1).count():
         found = components(links.unionByName(late))
     named = nodes.select("mark", "id").join(found, "id", "left").select("mark", F.coalesce("component", "id").alias("node"))
