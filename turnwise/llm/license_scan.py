@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import bounded_broadcast, cut, let
+from turnwise.llm.common import bounded_broadcast, cut, fits_broadcast, let
 
 #: Least cosine at which a line counts as a template.
 LEAST_COSINE = 0.6
@@ -81,7 +81,7 @@ def _windows(lines: DataFrame, sizes: list[int]) -> DataFrame:
     return lines.select("row", "line", F.explode(found).alias("w")).select("row", "line", "w.size", "w.window")
 
 
-def _window_lines(lines: DataFrame, weighed: DataFrame, norms: DataFrame, rarity: DataFrame, least: float) -> DataFrame:
+def _window_lines(lines: DataFrame, weighed: DataFrame, norms: DataFrame, rarity: DataFrame, least: float, small) -> DataFrame:
     """row, line, cosine, size, license: each line's best window that reaches ``least``.
 
     A window is compared with the templates of its size, and must hold every
@@ -97,9 +97,9 @@ def _window_lines(lines: DataFrame, weighed: DataFrame, norms: DataFrame, rarity
     counted = terms.groupBy("size", "window", "term").agg(F.count(F.lit(1)).alias("n"))
     vector = cut(counted.join(rarity, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(FOREIGN))))
     norm = vector.groupBy("size", "window").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = vector.join(F.broadcast(t), ["term", "size"]).groupBy("size", "window", "license", "template")
+    dots = vector.join(small(t), ["term", "size"]).groupBy("size", "window", "license", "template")
     dots = dots.agg(F.sum(F.col("x") * F.col("w")).alias("dot"), F.sum("own").alias("held"))
-    near = dots.join(F.broadcast(needed), "template").where("held = needed").join(F.broadcast(norms), "template").join(norm, ["size", "window"])
+    near = dots.join(small(needed), "template").where("held = needed").join(norms, "template").join(norm, ["size", "window"])
     near = near.withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)).where(F.col("cosine") >= least)
     best = cut(near.groupBy("size", "window").agg(F.max(F.struct("cosine", "license")).alias("b")))
     hits = windows.join(bounded_broadcast(best, F.octet_length("window")), ["size", "window"])
@@ -113,24 +113,27 @@ def license_lines(files: DataFrame, templates: DataFrame, least: float = LEAST_C
     lines = cut(lines.where(F.col("body").rlike(CUES)).select("row", "line", _terms("body").alias("terms")))
     total = lines.count()
     t = templates.select("license", "template", F.explode(_terms("line")).alias("term")).groupBy("license", "template", "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = F.broadcast(t.select("term").distinct())  # the templates' own words
+    t = cut(t)
+    # every table of the templates has at most the rows of this one
+    small = F.broadcast if fits_broadcast(t, F.octet_length(F.concat("license", "template", "term")) + 64) else (lambda df: df)
+    vocabulary = small(t.select("term").distinct())  # the templates' own words
     met = lines.select("row", "line", F.explode("terms").alias("term")).join(vocabulary, "term")
     df = met.select("row", "line", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(total) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
     weighed = cut(t.join(df, "term", "left").withColumn("w", F.col("tf") * idf).withColumn("idf", idf))
-    norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    rarity = F.broadcast(weighed.select("term", "idf").distinct())
+    norms = small(weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm")))
+    rarity = small(weighed.select("term", "idf").distinct())
     unknown = F.log(F.lit(total) + 1.0) + 1.0
     counted = lines.select("row", "line", F.explode("terms").alias("term")).groupBy("row", "line", "term").agg(F.count(F.lit(1)).alias("n"))
     vector = counted.join(rarity, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(unknown)))
     own = vector.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = vector.where("idf is not null").join(F.broadcast(weighed.select("term", "license", "template", "w")), "term")
+    dots = vector.where("idf is not null").join(small(weighed.select("term", "license", "template", "w")), "term")
     dots = dots.groupBy("row", "line", "license", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    cosine = dots.join(F.broadcast(norms), "template").join(own, ["row", "line"]).withColumn("cosine", F.col("dot") / (F.col("norm") * F.col("t_norm")))
+    cosine = dots.join(norms, "template").join(own, ["row", "line"]).withColumn("cosine", F.col("dot") / (F.col("norm") * F.col("t_norm")))
     best = F.max(F.struct(F.round("cosine", 6).alias("cosine"), F.col("license")))
     whole = cosine.groupBy("row", "line").agg(best.alias("b")).where(F.col("b.cosine") >= least)
     whole = whole.select("row", "line", "b.cosine", F.lit(1 << 30).alias("size"), "b.license")  # before an equal window
-    either = whole.unionByName(_window_lines(lines, weighed, norms, rarity, least)).groupBy("row", "line").agg(F.max(F.struct("cosine", "size", "license")).alias("b"))
+    either = whole.unionByName(_window_lines(lines, weighed, norms, rarity, least, small)).groupBy("row", "line").agg(F.max(F.struct("cosine", "size", "license")).alias("b"))
     return either.select("row", "line", "b.license", "b.cosine")
 
 

@@ -1,6 +1,6 @@
 """DuckDB SQL for the operator queries that SQL can express. Written from the contracts, not from the Spark plans."""
 
-from turnwise.llm.license_scan import CUES, LEAST_COSINE, TEMPLATES
+from turnwise.llm.license_scan import CUE_TERM, CUES, FOREIGN, LEAST_COSINE, TEMPLATES
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -116,7 +116,25 @@ x AS (SELECT doc_id, k, term, n * coalesce(idf, ln(total + 1.0::DOUBLE) + 1) AS
 xn AS (SELECT doc_id, k, sqrt(sum(x * x)) AS xn FROM x GROUP BY ALL),
 c AS (SELECT doc_id, k, license, round(sum(x * w) / (any_value(xn) * any_value(tn)), 6) AS cosine
       FROM x JOIN w USING (term) JOIN xn USING (doc_id, k) JOIN tn USING (template) GROUP BY doc_id, k, license, template),
-b AS (SELECT doc_id, k, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY cosine DESC, license DESC) AS r FROM c) WHERE r = 1 AND cosine >= {LEAST_COSINE}),
+-- windows as long as a template around each cue term; a window must hold the template's own terms
+sz AS (SELECT license, template, sum(tf)::INTEGER AS size FROM t GROUP BY license, template),
+lt AS (SELECT doc_id, k, list_filter(regexp_split_to_array(lower(body), '[^0-9a-z]+'), lambda x: x <> '') AS ts FROM l),
+cue AS (SELECT doc_id, k, ts, i - 1 AS i FROM (SELECT doc_id, k, ts, unnest(range(1, len(ts) + 1)) AS i FROM lt) WHERE regexp_matches(ts[i], '{CUE_TERM}')),
+pl AS (SELECT DISTINCT doc_id, k, size, array_to_string(list_slice(ts, s + 1, s + size), ' ') AS win
+       FROM (SELECT doc_id, k, ts, size, unnest(range(greatest(0, i - (size - 1)), least(i, greatest(0, len(ts) - size)) + 1)) AS s FROM cue, (SELECT DISTINCT size FROM sz))),
+wt AS (SELECT size, win, term, count(*) AS n FROM (SELECT size, win, unnest(string_split(win, ' ')) AS term FROM (SELECT DISTINCT size, win FROM pl)) GROUP BY ALL),
+wx AS (SELECT size, win, term, n * coalesce(idf, {FOREIGN}::DOUBLE) AS x FROM wt LEFT JOIN idf USING (term)),
+wn AS (SELECT size, win, sqrt(sum(x * x)) AS wn FROM wx GROUP BY size, win),
+own AS (SELECT w.license, w.template, w.term, w.w, sz.size,
+               (list_contains(regexp_split_to_array(lower(w.license), '[^0-9a-z]+'), w.term) OR (SELECT count(DISTINCT license) FROM t WHERE t.term = w.term) = 1)::INTEGER AS own
+        FROM w JOIN sz USING (template)),
+nd AS (SELECT template, sum(own) AS needed FROM own GROUP BY template),
+wc AS (SELECT size, win, license, round(sum(x * w) / (any_value(wn) * any_value(tn)), 6) AS cosine
+       FROM wx JOIN own USING (term, size) JOIN wn USING (size, win) JOIN tn USING (template) JOIN nd USING (template)
+       GROUP BY size, win, license, template HAVING sum(own) = any_value(needed)),
+ab AS (SELECT doc_id, k, cosine, 1 << 30 AS size, license FROM c WHERE cosine >= {LEAST_COSINE}
+       UNION ALL SELECT doc_id, k, cosine, size, license FROM pl JOIN wc USING (size, win) WHERE cosine >= {LEAST_COSINE}),
+b AS (SELECT doc_id, k, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY cosine DESC, size DESC, license DESC) AS r FROM ab) WHERE r = 1),
 o AS (SELECT doc_id, count(*) AS n_lines, arg_max(license, (cosine, license)) AS own_license, max(cosine) AS cosine FROM b GROUP BY doc_id),
 fo AS (SELECT f.doc_id, path, own_license, cosine, coalesce(n_lines, 0)::BIGINT AS n_lines FROM f LEFT JOIN o USING (doc_id)),
 h AS (SELECT path, regexp_replace(path, '/LICENSE$', '') AS dir, own_license FROM fo WHERE ends_with(path, '/LICENSE') AND own_license IS NOT NULL),
