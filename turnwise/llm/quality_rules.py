@@ -43,8 +43,8 @@ METRICS = list(FENCES)
 LOWER = [m for m, (_, _, lower) in FENCES.items() if lower]
 #: Metric columns and the bounds that a verdict reports.
 BOUNDS = [f"{m}_max" for m in METRICS] + [f"{m}_min" for m in LOWER]
-SYMBOLS = "#*$%&|<>"
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+NO_PUNCTUATION = r"[^!-/:-@\[-`{-~]+"
+NO_SYMBOL = r"[^#*$%&|<>]+"
 
 
 def _repeat_words(words: Column) -> Column:
@@ -84,16 +84,15 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             _repeat_words(w).alias("n_repeat_words"),
         ),
     )
-    others = {"n_symbols": _count(body, SYMBOLS), "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), "n_punct": _count(body, PUNCTUATION)}
+    marks = let(
+        F.regexp_replace(body, NO_PUNCTUATION, ""),
+        lambda m: F.struct(F.octet_length(m).alias("n_punct"), F.octet_length(F.regexp_replace(m, NO_SYMBOL, "")).alias("n_symbols")),
+    )
+    n_dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     kept = [c for c in docs.columns if c != text]
-    out = docs.select(*kept, of_words.alias("_w"), *[x.alias(f"_{n}") for n, x in others.items()])
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_punct"]
-    return out.select(*kept, *[F.col(f"_{n}" if n in others else f"_w.{n}").cast("long").alias(n) for n in names])
-
-
-def _count(text: Column, characters: str) -> Column:
-    """How many of the ASCII ``characters`` a text holds."""
-    return F.octet_length(text) - F.octet_length(F.translate(text, characters, ""))
+    out = docs.select(*kept, of_words.alias("_w"), marks.alias("_m"), n_dup_lines.alias("_d"))
+    names = {"n_words": "_w.n_words", "word_chars": "_w.word_chars", "n_symbols": "_m.n_symbols", "n_dup_lines": "_d", "n_repeat_words": "_w.n_repeat_words", "n_punct": "_m.n_punct"}
+    return out.select(*kept, *[F.col(c).cast("long").alias(n) for n, c in names.items()])
 
 
 def _digits(value: str) -> str:
@@ -139,24 +138,23 @@ def quantiles(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def thresholds(sketch: DataFrame, keys: tuple[str, str] = ("lang", "source"), min_group: int = MIN_GROUP) -> DataFrame:
     """``keys`` and, per metric, ``<metric>_max``, ``<metric>_min`` where it has one, and ``<metric>_slack``: whether the slack decides.
 
-    Small groups take the merged sketch of their first key, then of all.
+    Small groups take the merged sketch of their first key, then of all. The three levels go through one pass, told apart by ``level``.
     """
-    first = keys[0]
+    first, second = keys
+    levels = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), *[(F.col(k) if n <= deep else F.lit(None).cast("string")).alias(k) for k, deep in ((first, 1), (second, 0))]) for n in range(3)])).alias("l")
+    spread_out = sketch.select(levels, "metric", "cell", "n").select("l.*", "metric", "cell", "n")
+    q = quantiles(spread_out, ("level", *keys)).withColumn("spread", F.least(F.col("q90") - F.col("q50"), F.col("q50") - F.col("q10")))
+    found = []
+    for m, (slack, times, lower) in FENCES.items():
+        of = lambda x, m=m: F.max(F.when(F.col("metric") == m, x))
+        away = F.greatest(F.lit(slack), F.col("spread") * times)
+        found += [of(F.col("q50") + away).alias(f"{m}_max"), of(F.col("spread") * times < slack).alias(f"{m}_slack")]
+        found += [of(F.col("q50") - away).alias(f"{m}_min")] if lower else []
+    fences = cut(q.groupBy("level", *keys).agg(F.max("total").alias("total"), *found))  # a row a group
     columns = BOUNDS + [f"{m}_slack" for m in METRICS]
-
-    def fenced(level: tuple[str, ...]) -> DataFrame:
-        q = quantiles(sketch, level).withColumn("spread", F.least(F.col("q90") - F.col("q50"), F.col("q50") - F.col("q10")))
-        found = []
-        for m, (slack, times, lower) in FENCES.items():
-            of = lambda x, m=m: F.max(F.when(F.col("metric") == m, x))
-            away = F.greatest(F.lit(slack), F.col("spread") * times)
-            found += [of(F.col("q50") + away).alias(f"{m}_max"), of(F.col("spread") * times < slack).alias(f"{m}_slack")]
-            found += [of(F.col("q50") - away).alias(f"{m}_min")] if lower else []
-        return q.groupBy(*level).agg(F.max("total").alias("total"), *found)
-
-    own, lang, everything = fenced(keys), fenced((first,)), fenced(())
-    rename = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
-    joined = own.join(rename(lang, "l"), own[first].eqNullSafe(F.col(f"l_{first}")), "left").crossJoin(F.broadcast(rename(everything, "a")))  # one row
+    at = lambda n, tag: fences.where(F.col("level") == n).select(*[F.col(c).alias(f"{tag}_{c}") for c in fences.columns])
+    own = fences.where("level = 0")
+    joined = own.join(at(1, "l"), own[first].eqNullSafe(F.col(f"l_{first}")), "left").crossJoin(F.broadcast(at(2, "a")))  # one row
     pick = lambda c: F.when(F.col("total") >= min_group, F.col(c)).when(F.col("l_total") >= min_group, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
     return joined.select(*keys, *[pick(c) for c in columns])
 
