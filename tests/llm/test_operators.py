@@ -96,33 +96,40 @@ def rule_metrics(text):
     }
 
 
-def test_quality_rules(spark, documents):
-    rows = quality_rules(frame(spark, documents), min_group=5).collect()
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+def judged_by_rules(documents, min_group):
+    """A tuple per document (doc_id, text, lang, source): doc_id, counts, base_failed, kept, metrics, bounds."""
     grid = defaultdict(list)
     for _, t, lang, source in documents:
         if rule_counts(t)[0]:
             for g in ((lang, source), (lang,), ()):
                 grid[g].append(rule_metrics(t))
-    want = Counter()
-    for i, t, lang, source in documents:
-        c, of = rule_counts(t), rule_metrics(t)
-        base = c[0] < 20 or 100 * c[4] > 30 * c[0]
-        g, fine, bounds = next(g for g in ((lang, source), (lang,), ()) if len(grid[g]) >= 5 or g == ()), True, {}
+    fences = {}
+    for g, of in grid.items():
+        fences[g] = {}
         for m, (slack, times, lower) in quality_rules_module.FENCES.items():
             # the cell keeps nine binary digits
-            x = sorted(v[m] >> max(0, v[m].bit_length() - 9) << max(0, v[m].bit_length() - 9) for v in grid[g])
+            x = sorted(v[m] >> max(0, v[m].bit_length() - 9) << max(0, v[m].bit_length() - 9) for v in of)
             q10, q50, q90 = (x[-(-len(x) * k // 10) - 1] for k in (1, 5, 9))
             away = max(slack, times * min(q90 - q50, q50 - q10))
-            bounds[f"{m}_max"] = q50 + away
+            fences[g][f"{m}_max"] = q50 + away
             if lower:
-                bounds[f"{m}_min"] = q50 - away
-            fine &= of[m] <= q50 + away and not (lower and of[m] < q50 - away)
+                fences[g][f"{m}_min"] = q50 - away
+    out = []
+    for i, t, lang, source in documents:
+        c, of = rule_counts(t), rule_metrics(t)
+        base = c[0] < 20 or 100 * c[4] > 30 * c[0]
+        bounds = fences[next(g for g in ((lang, source), (lang,), ()) if len(grid[g]) >= min_group or g == ())]
+        fine = all(of[m] <= bounds[f"{m}_max"] and of[m] >= bounds.get(f"{m}_min", of[m]) for m in of)
         if not grid[(lang, source)]:  # only texts without words: no sketch, no bounds
             fine, bounds = True, dict.fromkeys(bounds)
-        want[(i, *c, base, fine and not base, *of.values(), *(bounds[b] for b in quality_rules_module.BOUNDS))] += 1
-    got = Counter((r.doc_id, *(r[n] for n in names), r.base_failed, r.kept, *(r[m] for m in quality_rules_module.METRICS), *(r[b] for b in quality_rules_module.BOUNDS)) for r in rows)
-    assert got == want
+        out.append((i, *c, base, fine and not base, *of.values(), *(bounds[b] for b in quality_rules_module.BOUNDS)))
+    return out
+
+
+def test_quality_rules(spark, documents):
+    rows = quality_rules(frame(spark, documents), min_group=5).collect()
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *quality_rules_module.METRICS, *quality_rules_module.BOUNDS]
+    assert Counter((r.doc_id, *(r[n] for n in names)) for r in rows) == Counter(judged_by_rules(documents, 5))
 
 
 def test_sketches_merge(spark):
@@ -434,36 +441,40 @@ def test_license_among_other_words(spark):
     assert own_licenses(spark, lines)[: len(want)] == [x for _, x in want]
 
 
-def test_decontaminate(spark, documents):
-    def words(text):
-        out, word = [], ""
-        for c in (text or "") + " ":
-            c = c.lower() if "A" <= c <= "Z" else c
-            if c.isascii() and not ("0" <= c <= "9" or "a" <= c <= "z"):
-                out += [word] if word else []
-                word = ""
-            else:
-                word += c
-        return out
+def benchmark_words(text):
+    out, word = [], ""
+    for c in (text or "") + " ":
+        c = c.lower() if "A" <= c <= "Z" else c
+        if c.isascii() and not ("0" <= c <= "9" or "a" <= c <= "z"):
+            out += [word] if word else []
+            word = ""
+        else:
+            word += c
+    return out
+
+
+def contamination(text, items):
+    """n_words, n_hit, n_items, items_sha256, contaminated."""
+    w, hit, found = benchmark_words(text), set(), set()
+    for item, other in items:
+        x = benchmark_words(other)
+        if not x or item is None:
+            continue
+        n = min(13, len(x))
+        wins = {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}
+        for k in range(len(w) - n + 1):
+            if tuple(w[k : k + n]) in wins:
+                hit |= set(range(k, k + n))
+                found.add(str(item))
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
+
+def test_decontaminate(spark, documents):
     rng = random.Random(8)
     items = [(1, " ".join(words_of(rng, 30))), (2, "short item"), (3, None), (4, "..."), (None, "one two"), (5, "one two"), (6, "ONE, two!"), (7, " ".join(words_of(rng, 13)))]
     docs = list(documents)
     docs += [(100, "x " * 40 + items[0][1].upper() + " y" * 40, "en", "s"), (101, items[7][1] + " " + items[7][1], "en", "s"), (102, " ".join(items[0][1].split()[:12]), "en", "s"), (103, "a short item here " + "pad " * 60, "en", "s")]
-    want = Counter()
-    for i, t, _, _ in docs:
-        w, hit, found = words(t), set(), set()
-        for item, text in items:
-            x = words(text)
-            if not x or item is None:
-                continue
-            n = min(13, len(x))
-            wins = {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}
-            for k in range(len(w) - n + 1):
-                if tuple(w[k : k + n]) in wins:
-                    hit |= set(range(k, k + n))
-                    found.add(str(item))
-        want[i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)] += 1
+    want = Counter((i, *contamination(t, items)) for i, t, _, _ in docs)
     b = spark.createDataFrame(items, "item_id bigint, text string").withColumn("win", F.lit("clash"))
     got = decontaminate(frame(spark, docs), b).drop("spans").collect()
     assert Counter(map(tuple, got)) == want

@@ -1,25 +1,37 @@
-"""The pipeline against its stages composed in plain Python, and the shape of what stages return."""
+"""The pipeline against its stages in plain Python (the classifier's fit apart, whose scores are summed anew), and the shape of what stages return."""
 
+import math
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from test_operators import documents, frame, split_words  # noqa: F401
+from test_operators import contamination, documents, frame, judged_by_rules, split_words  # noqa: F401
 
-from turnwise.llm.decontaminate import decontaminate
-from turnwise.llm.quality_classifier import quality_classifier
-from turnwise.llm.quality_rules import quality_rules
+from turnwise.llm import fm
+from turnwise.llm.quality_classifier import extract, held_out, terms
 
 
 def test_run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
-    left = {r.doc_id for r in quality_rules(docs).collect() if r.kept}
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    left = {r[0] for r in judged_by_rules(rows, 100) if r[7]}
     assert left and len(left) < len(text)
     some = docs.where(F.col("doc_id").isin(sorted(left)))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    left = {r.doc_id for r in quality_classifier(some, labels).collect() if r.predicted == 1}
+    m = fm.train(some, labels, "quality", held_out(), extract, terms, min_strength=3.0)
+    place = {int(t): k for k, t in enumerate(m.ids)}
+
+    def good(t):
+        """The pairwise sum, term by term."""
+        words, more = extract(t or "")
+        at = sorted({place[i] for i in map(fm.term_id, [x for w in words for x in terms(w)] + list(more)) if i in place})
+        z = m.bias + sum(m.w[i] for i in at) + sum(float(m.v[i] @ m.v[j]) for i, j in combinations(at, 2))
+        return 1 / (1 + math.exp(-z)) >= 0.3
+
+    left = {i for i in left if good(text[i])}
 
     def shingles(t):
         w = split_words("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
@@ -37,8 +49,10 @@ def test_run(spark, sf_dir):
             root[a] = root[b] = m
     left = {i for i in sets if root[i] == i}
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rest = docs.where(F.col("doc_id").isin(sorted(left)))
-    left = {r.doc_id for r in decontaminate(rest, bench).collect() if not r.contaminated}
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    clean = {i for i in left if not contamination(text[i], items)[-1]}
+    assert clean < left
+    left = clean
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in rows} == left
     fill = Counter()
