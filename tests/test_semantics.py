@@ -105,7 +105,7 @@ def test_jaccard_links(spark):
     rng = random.Random(2)
     sets = {i: frozenset(rng.sample(range(30), rng.randrange(1, 12))) for i in range(60)}
     sets |= {100 + i: s for i, s in list(sets.items())[:5]}
-    df = spark.createDataFrame([(i, str(t)) for i, s in sets.items() for t in s], "id bigint, token string")
+    df = spark.createDataFrame([(i, [str(t) for t in s]) for i, s in sets.items()], "id bigint, tokens array<string>")
     first = {}
     for i in sorted(sets):
         first.setdefault(sets[i], i)
@@ -280,7 +280,7 @@ def test_similar_pairs_are_those_of_brute_force(spark):
         s = {t for t in base if rng.random() < 0.9} | {f"t{rng.randrange(60)}" for _ in range(rng.randrange(3))}
         sets[i] = s or {"t0"}
     for threshold in (0.5, 0.6, 0.75, 0.8):
-        members, links = M.jaccard_links(spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "id int, token string"), threshold)
+        members, links = M.jaccard_links(spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()] + [(999, [])], "id int, tokens array<string>"), threshold)
         first = {}
         for i in sorted(sets):
             first.setdefault(frozenset(sets[i]), i)

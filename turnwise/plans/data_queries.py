@@ -212,7 +212,7 @@ PAIRS = ", pairs AS (SELECT a, b, s / (x.n + y.n - s) AS jaccard FROM (SELECT p.
 
 
 def doc_tokens(spark, d):
-    return A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(T.tokens(F.col("text"))).alias("tokens"))
 
 
 CLASSES = ", k AS (SELECT id, list_sort(list(token)) AS ts FROM t GROUP BY id), cl AS (SELECT id, min(id) OVER (PARTITION BY ts) AS class, count(*) OVER (PARTITION BY ts) - 1 AS n_copies FROM k), ln AS (SELECT p.a AS x, p.b AS y FROM pairs p WHERE jaccard > 0.6 UNION ALL SELECT p.b, p.a FROM pairs p WHERE jaccard > 0.6), lc AS (SELECT c.class, count(DISTINCT d.class) AS n_links FROM ln JOIN cl c ON c.id = x JOIN cl d ON d.id = y WHERE c.class <> d.class GROUP BY c.class), counts AS (SELECT id, class, coalesce(n_links, 0) AS n_links, n_copies FROM cl LEFT JOIN lc USING (class))"
