@@ -485,6 +485,17 @@ def u4(spark, d):
     return convos(spark, d).select("convo_id", U.verdict(F.col("convo_id") % 4 != 1, F.col("convo_id") % 3 + 1).alias("verdict"))
 
 
+ERRORS = "CASE event_id % 5 WHEN 0 THEN 'Error: 429' WHEN 1 THEN 'Timeout' WHEN 2 THEN '429 per_day' WHEN 3 THEN 'ValueError' END"
+
+
+@query("U5_rate_limit", f"WITH e AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS t_ms, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id) AS k, lower({ERRORS}) AS error FROM events) SELECT event_id, (3000000 * k + max(t_ms - 3000000 * k) OVER (PARTITION BY event_type ORDER BY k ROWS UNBOUNDED PRECEDING))::BIGINT AS start, CASE WHEN regexp_matches(error, '429|timeout') AND NOT contains(error, 'per_day') AND event_id % 4 < 3 THEN greatest(0.5::DOUBLE * 2 ** (event_id % 4), CASE WHEN contains(error, '429') THEN 5 ELSE 0.5 END) END::DOUBLE AS delay FROM e")
+def u5(spark, d):
+    """A lane an event type, one event in 50 minutes; waits after errors."""
+    e = A.table(spark, d, "events").select("event_id", "event_type", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("at"), F.expr(ERRORS).alias("error"))
+    p = U.paced(e, "event_type", "at", "event_id", 3_000_000, 86_400_000)
+    return p.select("event_id", "start", U.backoff(F.col("error"), F.col("event_id") % 4).alias("delay"))
+
+
 @query("U7_error_rows", "SELECT event_id, coalesce(TRY_CAST(CASE WHEN event_id % 6 = 0 THEN 'x' ELSE json_extract_string(props, '$.k') END AS BIGINT), -1) AS k, event_id % 6 = 0 AS failed FROM events")
 def u7(spark, d):
     raw = F.when(F.col("event_id") % 6 == 0, "x").otherwise(F.get_json_object("props", "$.k"))

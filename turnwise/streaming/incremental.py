@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from turnwise.operators.relational import counted
+
 
 def run_available(
     spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], key: str, files_per_wave: int = 2
@@ -57,6 +59,35 @@ def retried(rows: DataFrame, evaluate: Callable[[Column], Column], lane: str, ke
     return done
 
 
+#: Parts of an error's text after which another attempt makes sense, and those after which none does. Fixed values.
+RETRYABLE = "ratelimit|rate_limit|rate limit|resource_exhausted|timeout|internal|server|429|500|503"
+EXHAUSTED = "per_day|per_model_per_day"
+
+
+def paced(rows: DataFrame, lane: str, arrival: str, order: str, interval: int, bucket: int) -> DataFrame:
+    """``rows`` with start: when each may go if a lane lets one go every ``interval``, in the order of arrival (ties: ``order``).
+
+    One after the other, start is the later of the arrival and the last start plus the interval; so it is k * interval plus
+    the running maximum of arrival - k * interval for the k-th of its lane. Both k and the maximum are found in two levels, by
+    spans of ``bucket`` units of time, so that no task orders a whole lane.
+    """
+    rows = rows.withColumns({"_at": F.struct(arrival, order), "_b": F.floor(F.col(arrival) / bucket)})
+    numbered = counted(rows, [F.col(lane)], "_at", F.col("_b")).withColumn("_v", F.col(arrival) - F.col("pos") * interval)
+    tops = numbered.groupBy(lane, "_b").agg(F.max("_v").alias("_top"))
+    before = Window.partitionBy(lane).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(lane, "_b", F.max("_top").over(before).alias("_top"))
+    within = F.max("_v").over(Window.partitionBy(lane, "_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    out = numbered.withColumn("_m", within).join(tops, [lane, "_b"])
+    return out.withColumn("start", F.col("pos") * interval + F.greatest("_m", "_top")).drop("_at", "_b", "_v", "_m", "_top", "pos")
+
+
+def backoff(error: Column, attempt: Column, base: float = 0.5, retries: int = 3) -> Column:
+    """Seconds to wait after an error at ``attempt`` (from 0), doubling; null where no other attempt is made."""
+    text = F.lower(error)
+    least = F.when(text.contains("429"), 5.0).otherwise(0.5)
+    return F.when(text.rlike(RETRYABLE) & ~text.rlike(EXHAUSTED) & (attempt < retries), F.greatest(F.lit(base) * F.pow(F.lit(2.0), attempt), least))
+
+
 def next_attempts(results: DataFrame, attempts: int = 3) -> DataFrame:
     """Rows that failed and may be tried again, with their next attempt number."""
     return results.where(~F.col("ok") & (F.col("attempt") < attempts)).withColumn("attempt", F.col("attempt") + 1)
