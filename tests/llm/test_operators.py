@@ -513,6 +513,14 @@ def test_near_dedup_without_broadcast(spark, documents, monkeypatch):
     assert Counter(map(tuple, near_dedup(frame(spark, documents)).collect())) == want
 
 
+def test_rejected_documents_go_without_broadcast(spark, documents, monkeypatch):
+    docs, gone = frame(spark, documents), spark.createDataFrame([(k,) for k in (1, 14, None, 999)], "doc_id bigint")
+    want = Counter(d[0] for d in documents if d[0] not in (1, 14))
+    for rows in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+        assert Counter(r.doc_id for r in common.without(docs, gone).collect()) == want
+
+
 def test_no_session_setting_changes(spark, documents):
     before = dict(spark.conf.getAll)
     near_dedup(frame(spark, documents)).count()
