@@ -94,18 +94,18 @@ def last_wins(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), ordinal).alias("r")).select(*keys, "r.*")
 
 
-def counted(rows: DataFrame, group: list, order: str, bucket: Column) -> DataFrame:
+def counted(rows: DataFrame, group: list, order: str | list, bucket: Column) -> DataFrame:
     """``pos`` from 1 in the order of ``order`` within each group (expressions), in two levels, so that no task orders a whole group.
 
     ``bucket`` must not fall as ``order`` rises. Rows are counted per bucket, the small table of counts is summed up, and
     only the rows of one bucket are ordered together.
     """
-    keys = [f"_g{i}" for i in range(len(group))]
+    keys, order = [f"_g{i}" for i in range(len(group))], order if isinstance(order, list) else [order]
     dealt = rows.withColumns({**dict(zip(keys, group, strict=True)), "_bucket": bucket})
     sizes = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order)))
+    own = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)))
     return own.join(sizes, [*keys, "_bucket"]).withColumn("pos", F.col("_before") + F.col("_r")).drop(*keys, "_bucket", "_n", "_r", "_before")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from turnwise.operators.relational import counted
+
 MODULUS = 2147483647
 
 
@@ -14,9 +16,9 @@ def hashed(key: Column, salt: int = 0) -> Column:
     return (key.cast("long") * F.lit(1103515245) + F.lit(12345 + salt)) % F.lit(MODULUS)
 
 
-def positions(rows: DataFrame, group: list[str], order: list) -> DataFrame:
-    """``pos`` from 0 within each group."""
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+def positions(rows: DataFrame, group: list[str], order: list, bucket: Column) -> DataFrame:
+    """``pos`` from 0 within each group; ``bucket`` must not fall as the order rises (see :func:`counted`)."""
+    return counted(rows, [F.col(c) for c in group], order, bucket).withColumn("pos", F.col("pos") - 1)
 
 
 def round_robin(rows: DataFrame, bank: DataFrame, n: int) -> DataFrame:

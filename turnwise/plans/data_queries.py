@@ -24,6 +24,10 @@ TURN_SCHEMA = "convo_id bigint, category string, turns array<struct<turn_num: in
 PER_CONVO = "SELECT convo_id, count(*) AS n_turns, sum(length(utterance))::BIGINT AS chars FROM turns GROUP BY convo_id"
 
 
+#: Conversations are ordered by spans of their ids.
+SPAN = "convo_id div 1000"
+
+
 def per_convo(convos):
     return convos.select("convo_id", F.size("turns").cast("long").alias("n_turns"), F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + F.length(t["utterance"])).alias("chars"))
 
@@ -130,7 +134,8 @@ def s13(spark, d):
 @query("S14_sorted_finalise", W("turns", "SELECT convo_id, category, row_number() OVER (ORDER BY CASE category WHEN 'same_flow' THEN 1 WHEN 'switch_flow' THEN 2 WHEN 'ambiguous_first' THEN 3 ELSE 4 END, convo_id) AS at FROM (SELECT DISTINCT convo_id, category FROM turns)"))
 def s14(spark, d):
     c = A.turns(spark, d).select("convo_id", "category").distinct()
-    return R.ranked(c, [S_.category_rank(F.col("category")), F.col("convo_id")]).withColumnRenamed("rank", "at")
+    rank = S_.category_rank(F.col("category"))
+    return R.counted(c, [], [rank, F.col("convo_id")], F.struct(rank.alias("rank"), F.expr(SPAN).alias("span"))).withColumnRenamed("pos", "at")
 
 
 @query("S15_compact_json", W("turns", "SELECT convo_id, '{\"convo_id\":' || convo_id || ',\"category\":\"' || category || '\"}' AS line FROM (SELECT DISTINCT convo_id, category FROM turns)"))
@@ -334,12 +339,12 @@ BANK = ["b0", "b1", "b2"]
 @query("O8_round_robin", W("turns", f", {CONVOS}, r AS (SELECT convo_id, row_number() OVER (PARTITION BY category ORDER BY convo_id) - 1 AS pos FROM cv) SELECT convo_id, 'b' || (pos % 3) AS entry FROM r"))
 def o8(spark, d):
     bank = spark.createDataFrame(list(enumerate(BANK)), "slot int, entry string")
-    return O.round_robin(O.positions(convos(spark, d), ["category"], [F.col("convo_id")]), bank, len(BANK)).select("convo_id", "entry")
+    return O.round_robin(O.positions(convos(spark, d), ["category"], [F.col("convo_id")], F.expr(SPAN)), bank, len(BANK)).select("convo_id", "entry")
 
 
 @query("O9_anchor_round_robin", W("turns", f", {CONVOS}, r AS (SELECT convo_id, row_number() OVER (PARTITION BY category ORDER BY convo_id) - 1 AS pos FROM cv) SELECT convo_id, 'f' || (2 * pos % 12) AS a, 'f' || ((2 * pos + 1) % 12) AS b FROM r"))
 def o9(spark, d):
-    p = O.positions(convos(spark, d), ["category"], [F.col("convo_id")])
+    p = O.positions(convos(spark, d), ["category"], [F.col("convo_id")], F.expr(SPAN))
     at = lambda k: F.concat(F.lit("f"), F.pmod(2 * F.col("pos") + k, F.lit(12)))
     return p.select("convo_id", at(0).alias("a"), at(1).alias("b"))
 
@@ -357,13 +362,13 @@ def o11(spark, d):
 
 @query("O12_chunk_to_model", W("turns", f", {CONVOS}, r AS (SELECT convo_id, row_number() OVER (PARTITION BY domain ORDER BY convo_id) - 1 AS pos, count(*) OVER (PARTITION BY domain) AS n FROM cv) SELECT convo_id, floor(pos / ceil(n / 3))::BIGINT AS model FROM r"))
 def o12(spark, d):
-    p = O.positions(convos(spark, d), ["domain"], [F.col("convo_id")]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("domain")))
+    p = O.positions(convos(spark, d), ["domain"], [F.col("convo_id")], F.expr(SPAN)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("domain")))
     return p.select("convo_id", F.floor(F.col("pos") / F.ceil(F.col("n") / 3)).alias("model"))
 
 
 @query("O13_batches", W("turns", f", {CONVOS}, r AS (SELECT convo_id, row_number() OVER (PARTITION BY domain ORDER BY convo_id) - 1 AS pos FROM cv) SELECT convo_id, (pos // 16)::BIGINT AS batch FROM r"))
 def o13(spark, d):
-    return O.positions(convos(spark, d), ["domain"], [F.col("convo_id")]).select("convo_id", F.floor(F.col("pos") / 16).alias("batch"))
+    return O.positions(convos(spark, d), ["domain"], [F.col("convo_id")], F.expr(SPAN)).select("convo_id", F.floor(F.col("pos") / 16).alias("batch"))
 
 
 FOLD = ", z AS MATERIALIZED (SELECT domain AS lane, convo_id AS ord, count(*) AS size, row_number() OVER (PARTITION BY domain ORDER BY convo_id) AS k FROM turns GROUP BY domain, convo_id), f AS (SELECT lane, k, ord, size AS used, 0::BIGINT AS batch FROM z WHERE k = 1 UNION ALL SELECT z.lane, z.k, z.ord, CASE WHEN f.used + z.size > 16 THEN z.size ELSE f.used + z.size END, f.batch + (f.used + z.size > 16)::BIGINT FROM f JOIN z ON z.lane = f.lane AND z.k = f.k + 1) SELECT lane, ord, batch FROM f"
@@ -436,7 +441,7 @@ def o23(spark, d):
 @query("O24_skip_existing", W("turns", f", {CONVOS}, r AS (SELECT category, convo_id, row_number() OVER (PARTITION BY category ORDER BY convo_id) AS k FROM cv) SELECT category, convo_id FROM r WHERE k > CASE category WHEN 'same_flow' THEN 3 WHEN 'switch_flow' THEN 1 ELSE 0 END"))
 def o24(spark, d):
     have = spark.createDataFrame([("same_flow", 3), ("switch_flow", 1)], "category string, have int")
-    p = O.positions(convos(spark, d), ["category"], [F.col("convo_id")]).join(F.broadcast(have), "category", "left")
+    p = O.positions(convos(spark, d), ["category"], [F.col("convo_id")], F.expr(SPAN)).join(F.broadcast(have), "category", "left")
     return p.where(F.col("pos") + 1 > F.coalesce("have", F.lit(0))).select("category", "convo_id")
 
 
