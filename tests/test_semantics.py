@@ -15,6 +15,8 @@ from turnwise.operators import sampling as O
 from turnwise.operators import scoring as V
 from turnwise.operators import similarity as M
 from turnwise.sources import files as S
+from turnwise.sources import yaml_text as Y
+from turnwise.streaming import incremental as U
 
 
 def vote(spark, lists):
@@ -232,6 +234,32 @@ def test_a_failed_rename_keeps_the_rows():
     assert fs.at == {"old": "fewer"}
 
 
+def test_yaml_leaves():
+    text = "a:\n  b: [x, 'y, z', {k: 1}]\n  c:\nd:\n  - e: 1\n    f: \"#2\" # two\n  -  g\nh: {}\ni: http://x/y\n"
+    want = [("a/b/0", "x"), ("a/b/1", "y, z"), ("a/b/2/k", "1"), ("a/c", None), ("d/0/e", "1"), ("d/0/f", "#2"), ("d/1", "g"), ("i", "http://x/y")]
+    assert [("/".join(p), v) for p, v in Y.leaves(text)] == want and list(Y.leaves("")) == []
+
+
+def test_pacing(spark):
+    rng = random.Random(6)
+    rows = [(k, f"l{k % 3}", rng.randrange(5000)) for k in range(400)]
+    got = {r.id: r.start for r in U.paced(spark.createDataFrame(rows, "id long, lane string, at long"), "lane", "at", "id", 17, 300).collect()}
+    free, want = {}, {}
+    for k, lane, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[k] = max(at, free.get(lane, at))
+        free[lane] = want[k] + 17
+    assert got == want
+
+
+def test_generation_replaces_named_rows(spark):
+    samples = spark.createDataFrame([("a", k, f"a{k}") for k in range(4)], "category string, idx int, id string")
+    old = spark.createDataFrame([("a0", "a", "old"), ("a1", "a", "old")], "id string, category string, text string")
+    new = lambda s: s.withColumn("text", F.lit("new"))
+    of = lambda df: sorted((r.id, r.text) for r in df.collect())
+    assert of(U.generated(samples, old, new, "category", "idx", "id")) == [("a0", "old"), ("a1", "old"), ("a2", "new"), ("a3", "new")]
+    assert of(U.generated(samples, old, new, "category", "idx", "id", ["a1", "a3"])) == [("a0", "old"), ("a1", "new"), ("a3", "new")]
+
+
 def test_tail_probabilities(spark):
     of = lambda c: spark.range(1).select(c).first()[0]
     # tabled values

@@ -18,6 +18,7 @@ from turnwise.plans.registry import query
 from turnwise.plans.relational_queries import S, scored
 from turnwise.plans.scoring_queries import TOOLS, TURN, tool_scores
 from turnwise.sources import files as S_
+from turnwise.sources import yaml_text as Y
 from turnwise.streaming import incremental as U
 
 TURN_SCHEMA = "convo_id bigint, category string, turns array<struct<turn_num: int, speaker: string, utterance: string, flow: string, intent: string, candidate_flows: array<string>>>"
@@ -151,6 +152,40 @@ def s16(spark, d):
     return spark.read.schema("config_id string, accuracy double").json(path)
 
 
+CATALOG = """# tools
+version: 1  # of the format
+tools:
+  read:
+    name: "Read: a post"
+    input_schema:
+      properties:
+        post_id: {type: string, description: "The id, whole"}
+      required: [post_id]
+    idempotent: true
+  write:
+    name: 'It''s a draft'
+    tags: []
+    steps:
+    - one
+    - {kind: two, of: [a, b]}
+    - name: three
+      last: ~
+"""
+LEAVES = [
+    ("version", "1"), ("tools/read/name", "Read: a post"), ("tools/read/input_schema/properties/post_id/type", "string"),
+    ("tools/read/input_schema/properties/post_id/description", "The id, whole"), ("tools/read/input_schema/required/0", "post_id"), ("tools/read/idempotent", "true"),
+    ("tools/write/name", "It''s a draft"), ("tools/write/steps/0", "one"), ("tools/write/steps/1/kind", "two"), ("tools/write/steps/1/of/0", "a"),
+    ("tools/write/steps/1/of/1", "b"), ("tools/write/steps/2/name", "three"), ("tools/write/steps/2/last", None),
+]
+
+
+@query("S19_yaml_catalog", "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, '{p}', " + (f"'{v}')" if v else "NULL)") for n, (p, v) in enumerate(LEAVES)) + ") t(n, path, value)")
+def s19(spark, d):
+    path = S_.scratch(spark, "yaml")
+    spark.createDataFrame([(CATALOG,)], "value string").write.text(path)
+    return Y.read_yaml(spark, f"{path}/part-*").select("n", F.array_join("path", "/").alias("path"), "value")
+
+
 @query("S20_injected_model", W("turns", "SELECT convo_id, turn_num, length(utterance)::BIGINT AS answer FROM gold"))
 def s20(spark, d):
     """The remote model is an injected callable; here one that counts characters."""
@@ -552,6 +587,31 @@ h AS (SELECT *, string_agg(said, chr(10)) OVER (PARTITION BY voter, convo_id ORD
 SELECT voter, convo_id, turn_num, label, 'system: flows of ' || voter || coalesce(chr(10) || before, '') || chr(10) || 'user: ' || utterance AS dialogue FROM h WHERE label IS NOT NULL"""
 
 
+@query("U10_rerun", W("preds", "SELECT seed, convo_id, turn_num FROM preds WHERE config_id = 'c1' AND seed IN (1, 2)"))
+def u10(spark, d):
+    """A runner is a function; the third seed's fails and is passed over."""
+    def runner(seed, path):
+        if seed == 9:
+            raise RuntimeError("no such seed")
+        A.preds(spark, d).where((F.col("config_id") == "c1") & (F.col("seed") == seed)).select("seed", *TURN).write.json(path)
+
+    return U.rerun(spark, runner, S_.scratch(spark, "rerun"), "d0_c1", [1, 2, 9], "seed int, convo_id bigint, turn_num int")
+
+
+MADE = "SELECT category, idx, 'c' || category || '_' || printf('%03d', idx + 1) AS id, {0} AS text FROM s"
+
+
+@query("U13_generation", W("turns", f", {CONVOS}, s AS (SELECT category, convo_id // 4 AS idx FROM cv), h AS ({MADE.format("'old'")} WHERE idx < 5), n AS ({MADE.format("'new ' || idx")} WHERE idx >= coalesce((SELECT count(*) FROM h WHERE h.category = s.category), 0) AND idx % 6 <> 5) SELECT id, category, text FROM h UNION ALL SELECT id, category, text FROM n"))
+def u13(spark, d):
+    """A batch over all categories that goes on where an earlier one ended; the generator is injected and fails on every sixth sample."""
+    idx = F.expr("convo_id div 4")
+    number = F.lpad((idx + 1).cast("string"), F.greatest(F.lit(3), F.length((idx + 1).cast("string"))), F.lit("0"))
+    samples = convos(spark, d).select("category", idx.alias("idx"), F.concat(F.lit("c"), "category", F.lit("_"), number).alias("id"))
+    old = samples.where("idx < 5").select("id", "category", F.lit("old").alias("text"))
+    new = lambda s: s.where("idx % 6 <> 5").withColumn("text", F.concat(F.lit("new "), F.col("idx").cast("string")))
+    return U.generated(samples, old, new, "category", "idx", "id")
+
+
 @query("U11_sft_labels", S(SFT))
 def u11(spark, d):
     """Examples of turns on which the ensemble was right and sure, with the whole history; other turns stay in it as [skipped]."""

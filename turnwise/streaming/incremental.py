@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +89,35 @@ def backoff(error: Column, attempt: Column, base: float = 0.5, retries: int = 3)
     return F.when(text.rlike(RETRYABLE) & ~text.rlike(EXHAUSTED) & (attempt < retries), F.greatest(F.lit(base) * F.pow(F.lit(2.0), attempt), least))
 
 
+def generated(samples: DataFrame, existing: DataFrame, generate: Callable[[DataFrame], DataFrame], group: str, index: str, key: str, again: list[str] | None = None) -> DataFrame:
+    """``existing`` rows and those that ``generate`` makes of the samples still lacking: in each group, the samples past as many as exist.
+
+    With ``again``, just the samples with these keys are made, in place of what existed under them. ``generate``
+    gives rows with the columns of ``existing``; a failure is a row it leaves out. It is asked about each sample once.
+    """
+    if again is not None:
+        named = [F.lit(k) for k in again]
+        return existing.where(~F.col(key).isin(named)).unionByName(generate(samples.where(F.col(key).isin(named))).select(*existing.columns))
+    have = existing.groupBy(group).agg(F.count(F.lit(1)).alias("_have"))
+    lacking = samples.join(have, group, "left").where(F.col(index) >= F.coalesce("_have", F.lit(0))).drop("_have")
+    return existing.unionByName(generate(lacking).select(*existing.columns))
+
+
+def rerun(spark: SparkSession, runner: Callable[[int, str], None], folder: str, name: str, seeds: list[int], schema: str) -> DataFrame:
+    """Calls ``runner(seed, path)`` for each seed and reads what it wrote as JSON lines; a runner that raises is logged and has no rows."""
+    made = None
+    for seed in seeds:
+        path = f"{folder}/{name}_seed{seed}.jsonl"
+        try:
+            runner(seed, path)
+        except Exception as e:  # whatever a runner does must not stop the others
+            logging.getLogger(__name__).warning("%s, seed %s: %s", name, seed, e)
+            continue
+        rows = spark.read.schema(schema).json(path)
+        made = rows if made is None else made.unionByName(rows)
+    return spark.createDataFrame([], schema) if made is None else made
+
+
 def next_attempts(results: DataFrame, attempts: int = 3) -> DataFrame:
     """Rows that failed and may be tried again, with their next attempt number."""
     return results.where(~F.col("ok") & (F.col("attempt") < attempts)).withColumn("attempt", F.col("attempt") + 1)
