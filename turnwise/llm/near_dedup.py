@@ -34,7 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.llm.common import bounded_broadcast, cut, sliced
@@ -260,14 +260,12 @@ def _linked_in_block(key, table):
     return _joined(left, right, near)
 
 
-def in_blocks(rows: DataFrame, group: str, function, weight: Column | None = None) -> DataFrame:
+def in_blocks(rows: DataFrame, sizes: DataFrame, group: str, function) -> DataFrame:
     """``function`` on pairs of blocks of each group, (a, b) of each union: every two rows of different components meet in one.
 
-    ``rows``: group, id, component, one binary column. Blocks hold rows of a total ``weight`` of about one. Rows of
+    ``rows``: group, id, component, one binary column; ``sizes``: group, component, w, how many blocks its rows fill. Rows of
     a group's largest component have blocks of their own, which meet the others' blocks but not each other.
     """
-    w = F.sum(F.lit(1.0 / BLOCK) if weight is None else weight)
-    sizes = rows.groupBy(group, "component").agg(w.alias("w"))
     sizes = sizes.groupBy(group).agg(F.max(F.struct("w", F.col("component").alias("c"))).alias("most"), F.sum("w").alias("w"))
     blocks = lambda x: F.greatest(F.lit(1), F.ceil(x - 1e-9)).cast("int")
     sizes = sizes.select(group, F.col("most.c").alias("_most"), blocks(F.col("most.w")).alias("_p"), blocks(F.col("w") - F.col("most.w")).alias("_q"))
@@ -325,15 +323,16 @@ def residual_links(mates: DataFrame, nodes: DataFrame, found: DataFrame, docs: D
     if many.limit(1).count():
         second = many.join(sketch, "id").select("key", "id", "component", "sketch").mapInArrow(_second_keys, "key long, id long, component long")
         open_ = few.unionByName(reduce(DataFrame.unionByName, mixed(second)))
-    alike = cut(in_blocks(open_.join(sketch, "id"), "key", _alike_in_block))
+    sizes = open_.groupBy("key", "component").agg((F.count(F.lit(1)) / BLOCK).alias("w"))
+    alike = cut(in_blocks(open_.join(sketch, "id"), sizes, "key", _alike_in_block))
     family = components(alike).select(F.col("id").alias("component"), F.col("component").alias("family"))
     members = cut(open_.select("id", "component").distinct().join(family, "component").join(nodes.select("id", "mark", "n_shingles"), "id"))
     wanted = bounded_broadcast(members.select("id", "mark"), F.lit(32))
     sets = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id").mapInArrow(_set_rows, "id long, mark binary, shingles binary")
     sets = sets.groupBy("id", "mark").agg(F.min("shingles").alias("shingles"))
     rows = members.select("family", "id", "mark", "component").join(sets, ["id", "mark"]).drop("mark")
-    weight = F.lit(1.0 / BLOCK) + F.octet_length("shingles") / (8.0 * BLOCK_SHINGLES)
-    return cut(in_blocks(rows, "family", _linked_in_block, weight))
+    sizes = members.groupBy("family", "component").agg(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES).alias("w"))
+    return cut(in_blocks(rows, sizes, "family", _linked_in_block))
 
 
 def same_id_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
