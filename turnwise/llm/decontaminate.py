@@ -17,9 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from turnwise.llm.common import NON_WORD_CLASS, ascii_lower, cut
+from turnwise.llm.common import NON_WORD_CLASS, ascii_lower, bounded_broadcast, cut
 
 WINDOW = 13
 #: A document is contaminated when hit words are at least one in this many.
@@ -61,9 +60,9 @@ def prefix_table(documents: DataFrame, windows: DataFrame) -> DataFrame:
     vocabulary = windows.select(F.explode("win").alias("token")).distinct()
     met = documents.select(F.explode(_words("text")).alias("token")).withColumn("h", F.xxhash64("token"))
     counts = in_table(met, "h", cut(bit_table(vocabulary.select(F.xxhash64("token").alias("h"))))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    spread = windows.select("win", "items", F.posexplode("win").alias("off", "token")).join(counts, "token", "left")
-    rank = F.row_number().over(Window.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "token", "off"))
-    return spread.withColumn("rank", rank).where("rank = 1").select("token", "off", "win", "items")
+    spread = windows.select("win", "items", F.posexplode("win").alias("off", "token")).join(bounded_broadcast(cut(counts), F.length("token")), "token", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "off")).alias("p")
+    return spread.groupBy("win").agg(rarest, F.any_value("items").alias("items")).select("p.token", "p.off", "win", "items")
 
 
 def occurrences(places: DataFrame, table: DataFrame) -> DataFrame:
