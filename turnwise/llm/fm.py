@@ -200,11 +200,10 @@ def hashed_terms(extract: Extract, terms: Terms) -> Callable[[Iterator[pa.Record
 
 def candidate_terms(hashed: DataFrame, max_terms: int, min_strength: float) -> np.ndarray:
     """The terms that a fit may keep, sorted: the strongest ``max_terms`` and the PAIR_TERMS most frequent of ``hashed`` (y, terms)."""
-    size = hashed.agg(F.count(F.lit(1)).alias("rows"), F.avg("y").alias("p"))
+    p = F.lit(hashed.agg(F.avg("y")).first()[0]).cast("double")
     counts = hashed.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("with_1"))
-    spread = F.sqrt(F.nullif(F.col("df") * F.col("p") * (1 - F.col("p")), F.lit(0.0)))
-    counts = counts.where(F.col("df") >= MIN_DF).crossJoin(F.broadcast(size))  # one row
-    counts = cut(counts.select("term", "df", (F.abs(F.col("with_1") - F.col("df") * F.col("p")) / spread).alias("strength")))
+    spread = F.sqrt(F.nullif(F.col("df") * p * (1 - p), F.lit(0.0)))
+    counts = cut(counts.where(F.col("df") >= MIN_DF).select("term", "df", (F.abs(F.col("with_1") - F.col("df") * p) / spread).alias("strength")))
     strong = counts.where(F.col("strength") > min_strength - 1e-6).orderBy(F.desc("strength"), "term").limit(max_terms)
     frequent = counts.orderBy(F.desc("df"), F.expr("term & 4294967295L")).limit(PAIR_TERMS)
     found = strong.select("term").union(frequent.select("term")).distinct().collect()  # at most max_terms + PAIR_TERMS numbers

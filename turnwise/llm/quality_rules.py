@@ -152,10 +152,12 @@ def thresholds(sketch: DataFrame, keys: tuple[str, str] = ("lang", "source"), mi
         found += [of(F.col("q50") - away).alias(f"{m}_min")] if lower else []
     fences = cut(q.groupBy("level", *keys).agg(F.max("total").alias("total"), *found))  # a row a group
     columns = BOUNDS + [f"{m}_slack" for m in METRICS]
-    at = lambda n, tag: fences.where(F.col("level") == n).select(*[F.col(c).alias(f"{tag}_{c}") for c in fences.columns])
+    first_level = fences.where("level = 1").select(*[F.col(c).alias(f"l_{c}") for c in fences.columns])
+    everything = fences.where("level = 2").first()  # one row
     own = fences.where("level = 0")
-    joined = own.join(at(1, "l"), own[first].eqNullSafe(F.col(f"l_{first}")), "left").crossJoin(F.broadcast(at(2, "a")))  # one row
-    pick = lambda c: F.when(F.col("total") >= min_group, F.col(c)).when(F.col("l_total") >= min_group, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
+    joined = own.join(first_level, own[first].eqNullSafe(F.col(f"l_{first}")), "left")
+    of_all = lambda c: F.lit(everything[c] if everything else None).cast(fences.schema[c].dataType)
+    pick = lambda c: F.when(F.col("total") >= min_group, F.col(c)).when(F.col("l_total") >= min_group, F.col(f"l_{c}")).otherwise(of_all(c)).alias(c)
     return joined.select(*keys, *[pick(c) for c in columns])
 
 
