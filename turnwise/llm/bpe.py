@@ -26,13 +26,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from turnwise.llm.common import tidy
+
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Pieces in the table, and the longest that it keeps.
 CACHE_PIECES = 1_000_000
 CACHED_CHARS = 48
 #: Bytes of text that are encoded at once; small batches are put together up to it.
-MANY_BYTES = 8 << 20
+MANY_BYTES = 4 << 20
+#: Characters that the library encodes at once.
+LIBRARY_CHARS = 1 << 18
 
 #: Any white space before a space: such texts are encoded whole.
 _ODD = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
@@ -60,7 +64,8 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """The ids that the library gives with add_special_tokens=False: strings of added tokens in a text have the tokens' ids."""
 
-    def __init__(self, tokenizer: str = TOKENIZER):
+    def __init__(self, tokenizer: str = TOKENIZER, cache_pieces: int = CACHE_PIECES, many_bytes: int = MANY_BYTES):
+        self.cache_pieces, self.many_bytes = cache_pieces, many_bytes
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -90,20 +95,31 @@ class Encoder:
         special = set(self.added)  # no merge makes these
         return not any(possible.fullmatch(t) and sum(bool(k.search(t)) for k in kinds) > 1 for t in self.tokenizer.get_vocab() if t not in special)
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def _new(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of pieces, each after a space, in their order."""
+    def _library(self, texts: list[str], model: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of the texts, one after the other, and how many each has, in parts. The library's results are many times the text, so it gets little at once."""
+        encode = (self.model if model else self.tokenizer).encode_batch_fast
+        ids, sizes, first, size = [], [], 0, 0
+        for at, length in enumerate(map(len, texts)):
+            size += length
+            if size >= LIBRARY_CHARS or at + 1 == len(texts):
+                lists = [e.ids for e in encode(texts[first : at + 1], add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+                ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes[-1].sum())))
+                first, size = at + 1, 0
+        return ids, sizes
+
+    def _new(self, pieces: list[str], firsts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, each after a space, and of whole texts: where each begins and how many it has. The texts' come last."""
         match, table, space, line = _PLAIN.match, self.written, self.space, self.line
-        plain = [self.plain and match(x) is not None for x in pieces]
-        words = [
-            space + (x.replace("\n", line) if x.isascii() else x.encode().decode("latin-1").translate(table))
-            for x, y in zip(pieces, plain, strict=True) if y
-        ]
-        of_word = iter([e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)] if words else [])
-        other = iter(self._library([" " + x for x, y in zip(pieces, plain, strict=True) if not y]))
-        return [next(of_word) if y else next(other) for y in plain]
+        plain = np.fromiter((self.plain and match(x) is not None for x in pieces), bool, len(pieces))
+        words = [space + (x.replace("\n", line) if x.isascii() else x.encode().decode("latin-1").translate(table)) for x, y in zip(pieces, plain, strict=True) if y]
+        parts = [self._library(words, model=True), self._library([" " + x for x, y in zip(pieces, plain, strict=True) if not y]), self._library(firsts)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(x for p in parts for x in p[0])])
+        sizes = np.concatenate([np.zeros(0, np.int64), *(x for p in parts for x in p[1])])
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain), len(pieces) + np.arange(len(firsts))])
+        start, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        start[order], size[order] = np.cumsum(sizes) - sizes, sizes
+        return ids, start, size
 
     def _many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False).astype(bool)
@@ -117,25 +133,31 @@ class Encoder:
         for i in np.flatnonzero(odd).tolist():
             firsts[i] = texts[i].as_py()
         code = pc.index_in(flat, value_set=self.known)
-        if len(self.known) and (len(self.known) + code.null_count > CACHE_PIECES or len(self.ids) > 8 * CACHE_PIECES):
+        if len(self.known) and (len(self.known) + code.null_count > self.cache_pieces or len(self.ids) > 8 * self.cache_pieces):
             self._fresh()
             code = pc.index_in(flat, value_set=self.known)
         coded = flat.filter(code.is_null()).dictionary_encode()
         lacks, known = coded.dictionary, len(self.known)
-        new = self._new(lacks.to_pylist()) + self._library(firsts)
-        size = np.fromiter(map(len, new), np.int64, len(new))
-        ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.uint32, int(size.sum()))])
-        start, size = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size]), np.concatenate([self.size, size])
-        row = code.fill_null(-1).to_numpy().astype(np.int64)
+        more, at_new, size_new = self._new(lacks.to_pylist(), firsts)
+        texts_from = int(at_new[len(lacks)]) if len(firsts) else len(more)
+        del firsts
+        old = len(self.ids)
+        ids = np.concatenate([self.ids, more])
+        start, size = np.concatenate([self.start, old + at_new]), np.concatenate([self.size, size_new])
+        row = code.fill_null(-1).to_numpy().copy()
         row[row < 0] = known + coded.indices.to_numpy()
         row[at[:-1]] = known + len(lacks) + np.arange(len(texts))
-        of = size[row]
-        ends = np.cumsum(of)
-        out = ids[np.repeat(start[row] - (ends - of), of) + np.arange(int(ends[-1]))]
+        del whole, lists, flat, code, coded
+        of = size[row].astype(np.int32)  # a part has some millions of ids at most
+        ends = np.cumsum(of, dtype=np.int64)
+        place = np.repeat((start[row] - (ends - of)).astype(np.int32), of)
+        place += np.arange(len(place), dtype=np.int32)
+        out = ids[place]
+        del row, of, place
         keep = np.flatnonzero(pc.less_equal(pc.utf8_length(lacks), CACHED_CHARS).to_numpy(zero_copy_only=False))
         self.known = pa.concat_arrays([self.known, lacks.take(pa.array(keep))])
         keep = np.concatenate([np.arange(known), known + keep])
-        self.ids, self.start, self.size = ids[: start[known + len(lacks)]].copy(), start[keep], size[keep]
+        self.ids, self.start, self.size = ids[: old + texts_from].copy(), start[keep], size[keep]
         return out, np.concatenate([[0], ends[at[1:] - 1]])
 
     def encode_many(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +172,7 @@ class Encoder:
                 gc.enable()
 
     def _in_parts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        into = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // MANY_BYTES
+        into = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // self.many_bytes
         cuts = [0, *(np.flatnonzero(np.diff(into)) + 1).tolist(), len(texts)]
         parts, offsets, base = [], [np.zeros(1, np.int64)], 0
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -177,11 +199,14 @@ def put_together(batches: Iterator[pa.RecordBatch], column: str = "text") -> Ite
         if size >= MANY_BYTES:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
             held, size = [], 0
+            tidy()
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        held = []
+    tidy()
 
 
-@lru_cache(maxsize=2)
-def encoder(tokenizer: str = TOKENIZER) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(tokenizer: str = TOKENIZER, cache_pieces: int = CACHE_PIECES, many_bytes: int = MANY_BYTES) -> Encoder:
     """One encoder a worker process, so that its table outlives a task."""
-    return Encoder(tokenizer)
+    return Encoder(tokenizer, cache_pieces, many_bytes)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,11 +82,42 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of at most ``rows`` for what runs inside, then the session's setting as it was.
+
+    Spark bounds a batch by 64 MB, of which each task holds some in the executor and in its worker; texts need far less.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, was_set = spark.conf.get(key), key in spark.conf.getAll
+    if int(before) <= 0 or int(before) > rows:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        if was_set:
+            spark.conf.set(key, before)
+        else:
+            spark.conf.unset(key)
+
+
+def tidy() -> None:
+    """Gives memory that a worker no longer uses back to the system: workers live on, next to others and the executor."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def sliced(batches, rows: int = 1000):
     """The same rows in Arrow batches of at most ``rows``: Spark bounds a batch by bytes, and a worker turns one at a time into Python objects."""
     for b in batches:
         for first in range(0, b.num_rows, rows):
             yield b.slice(first, rows)
+        tidy()
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:

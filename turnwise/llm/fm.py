@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import cut, sliced
+from turnwise.llm.common import cut, sliced, small_batches
 
 #: Most labelled rows a fit uses: those whose doc_id has the smallest hashes.
 MAX_TRAIN_ROWS = 12_000
@@ -232,7 +232,8 @@ def train(
 
     sample = labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", label), label, held_out, max_train_rows)
     kind = "doc_id bigint, y int, terms array<int>"
-    hashed = cut(sample.mapInArrow(hashed_terms(extract, terms), kind))
+    with small_batches(docs.sparkSession):
+        hashed = cut(sample.mapInArrow(hashed_terms(extract, terms), kind))
     candidates = candidate_terms(hashed, max_terms, min_strength)
     rows = hashed.mapInArrow(only_candidates, kind).withColumn("_one", F.lit(1))
     found = rows.groupBy("_one").applyInArrow(run, "ids array<bigint>, w array<double>, v array<double>, bias double").collect()
@@ -265,6 +266,6 @@ def score(docs: DataFrame, model: Model, held_out: Column, extract: Extract, ter
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double").withColumn(
-        "predicted", (F.col("score") >= predict_at).cast("int")
-    )
+    with small_batches(docs.sparkSession):
+        scored = cut(rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double"))  # three narrow columns
+    return scored.withColumn("predicted", (F.col("score") >= predict_at).cast("int"))

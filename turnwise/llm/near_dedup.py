@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import bounded_broadcast, cut, sliced
+from turnwise.llm.common import bounded_broadcast, cut, sliced, small_batches
 
 SHINGLE = 5
 PERCENT = 75
@@ -127,18 +127,13 @@ def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
 
 def _sketch_rows(batches):
     hashes = WordHashes()
-    for b in batches:
-        ids, texts = b.column("doc_id"), b.column("text")
-        for first in range(0, len(b), 512):
-            sets = [shingle_set(x.as_py(), hashes) for x in texts[first : first + 512]]
-            marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids[first : first + 512], pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(marks, pa.binary()), pa.array([x.tobytes() for x in sketches(sets)], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "mark", "sketch"],
-            )
+    for b in sliced(batches, 512):
+        sets = [shingle_set(x.as_py(), hashes) for x in b.column("text")]
+        marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array([x.tobytes() for x in sketches(sets)], pa.binary())],
+            ["doc_id", "n_shingles", "mark", "sketch"],
+        )
 
 
 def _band_rows(batches):
@@ -162,7 +157,7 @@ def _linked(batches):
             kept[node, mark] = s
         return kept[node, mark]
 
-    for b in batches:
+    for b in sliced(batches):
         out = []
         for r in zip(*(b.column(c) for c in ("a", "b", "mark_a", "mark_b", "text_a", "text_b")), strict=True):
             a, c, mark_a, mark_b = (x.as_py() for x in r[:4])
@@ -351,6 +346,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with small_batches(docs.sparkSession):
+        return _near_dedup(docs)
+
+
+def _near_dedup(docs: DataFrame) -> DataFrame:
     rows = cut(docs.mapInArrow(_sketch_rows, "doc_id long, n_shingles long, mark binary, sketch binary"))
     nodes = cut(
         rows.where("n_shingles > 0 and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles"))

@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.llm.bpe import END_ID, TOKENIZER, encoder, put_together
-from turnwise.llm.common import cut
+from turnwise.llm.common import cut, small_batches
 
 CAPACITY = 2048
 GROUP_TOKENS = 8192 * CAPACITY
 GROUP_PIECES = 400_000
+#: The encoder's parts are smaller than by default, as the pipeline's earlier stages leave executors large.
+CACHE_PIECES, MANY_BYTES = 1_000_000, 2 << 20
 
 
 class Capacities:
@@ -81,7 +83,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
     """
 
     def run(batches):
-        bpe = encoder(tokenizer)
+        bpe = encoder(tokenizer, CACHE_PIECES, MANY_BYTES)
         for b in put_together(batches):
             rows = []
             ids, offsets = bpe.encode_many(b.column("text"), end_id)
@@ -124,12 +126,15 @@ def best_fit_packing(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int
     Null and empty texts are one piece, the end id; a null doc_id stays null;
     repeated rows are packed each; an empty table packs nothing. Other columns are ignored.
     """
-    return pack(cut(token_pieces(docs, tokenizer, capacity)), capacity)
+    with small_batches(docs.sparkSession):
+        pieces = cut(token_pieces(docs, tokenizer, capacity))
+    return pack(pieces, capacity)
 
 
 def packed_ids(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """The sequences themselves: sequence_id, n_tokens, ids (little-endian uint32 bytes)."""
-    pieces = cut(token_pieces(docs, tokenizer, capacity, with_ids=True))
+    with small_batches(docs.sparkSession):
+        pieces = cut(token_pieces(docs, tokenizer, capacity, with_ids=True))
     placed = pack(pieces.drop("ids"), capacity)
     key = ["doc_id", "piece", "ids_crc32"]
     content = pieces.groupBy(*key).agg(F.first("ids").alias("ids"))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnwise.llm.bpe import END_ID, TOKENIZER, encoder, put_together
+from turnwise.llm.common import small_batches
 from turnwise.llm.files import Pending, mapped
 
 NULL_ID = int(np.iinfo(np.int64).min)
@@ -56,7 +57,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     written = ordered.mapInArrow(run, "shard long, width int, n_docs long, n_tokens long")
-    written.write.mode("overwrite").parquet(f"{folder}/manifest")
+    with small_batches(docs.sparkSession):
+        written.write.mode("overwrite").parquet(f"{folder}/manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:

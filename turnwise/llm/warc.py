@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import cut, sliced
+from turnwise.llm.common import cut, sliced, small_batches
 from turnwise.llm.files import Pending, store
 
 #: Payloads of fewer bytes are never revisits.
@@ -135,7 +135,9 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date
             yield closed()
 
     schema = "file string, records long, bytes long, sha256 string, first_page long, last_page long"
-    in_order(pages).mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/manifest")
+    ordered = in_order(pages)
+    with small_batches(pages.sparkSession):
+        ordered.mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/manifest")
 
 
 def parsed_records(chunks):
