@@ -318,6 +318,26 @@ def test_similar_pairs_are_those_of_brute_force(spark):
         assert {(r.a, r.b) for r in links.collect()} == want and want
 
 
+def test_arrays_of_conversations_come_back_whole(spark, tmp_path):
+    from turnwise.plans.catalog import QUERIES
+
+    text = lambda i, t: None if (i + t) % 5 == 0 else "x" * (i % 7 + t)
+    turns = [(i, t, "user", text(i, t)) for i in range(0, 9000, 91) for t in range(1 + i % 3)]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {}
+    for i, _, _, x in turns:
+        n, chars = want.get(i, (0, None))
+        want[i] = n + 1, chars if x is None else (chars or 0) + len(x)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as on larger tables, groups come out of several partitions
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = {r.convo_id: (r.n_turns, r.chars) for r in QUERIES["S1_json_array_scan"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want
+
+
 def test_entry_works_without_the_optional_subpackage(tmp_path):
     import os
     import shutil

@@ -30,15 +30,13 @@ SPAN = "convo_id div 1000"
 
 
 def per_convo(convos):
-    return convos.select("convo_id", F.size("turns").cast("long").alias("n_turns"), F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + F.length(t["utterance"])).alias("chars"))
+    return convos.select("convo_id", F.size("turns").cast("long").alias("n_turns"), F.aggregate("turns", F.lit(None).cast("long"), lambda a, t: F.coalesce(a + F.length(t["utterance"]), a, F.length(t["utterance"]))).alias("chars"))
 
 
 @query("S1_json_array_scan", W("turns", PER_CONVO))
 def s1(spark, d):
     path = S_.scratch(spark, "array")
-    rows = R.nest(A.turns(spark, d)).withColumn("part", F.pmod("convo_id", F.lit(8)))
-    one = rows.groupBy("part").agg(F.to_json(F.collect_list(F.struct("convo_id", "category", "turns"))).alias("value"))
-    one.select("value").repartition(8).write.text(path)
+    S_.write_arrays(R.nest(A.turns(spark, d)).withColumn("part", F.expr(SPAN)), path, "part")
     return per_convo(S_.read_json(spark, path, TURN_SCHEMA))
 
 

@@ -35,6 +35,16 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(schema).json(path)
 
 
+def write_arrays(rows: DataFrame, path: str, part: str) -> None:
+    """A JSON file for every value of the column ``part``, that holds a list of its rows.
+
+    Each value has a folder and one row of text, so a file never holds two lists, of
+    which :func:`read_json` would see the first only. A list is built in one row: values should be of bounded size.
+    """
+    fields = F.struct(*[c for c in rows.columns if c != part])
+    rows.groupBy(part).agg(F.to_json(F.collect_list(fields)).alias("value")).write.partitionBy(part).text(path)
+
+
 def read_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """JSON lines. Lenient: rows with ``_corrupt_record`` set for lines that don't parse; strict: the first one fails the query."""
     if strict:
